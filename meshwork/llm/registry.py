@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from . import substring_dedup
+from . import pii, simhash, substring_dedup, token_counts
 
-QUERIES = {"op7_substring_dedup": substring_dedup.op7_substring_dedup}
+QUERIES = {
+    "op2_simhash_near_dedup": simhash.op2_simhash_near_dedup,
+    "op6_pii": pii.op6_pii,
+    "op7_substring_dedup": substring_dedup.op7_substring_dedup,
+    "op9_token_counts": token_counts.op9_token_counts,
+}
 ORACLES: dict[str, str] = {}
