@@ -6,7 +6,7 @@ sent on, the others are repeats already. What is sent is dealt by hash, each red
 windows, and every occurrence behind a window's first one is reported back to its document.
 Reported windows merge into maximal intervals, whose words are removed.
 
-Scale. A window sends ten bytes (its hash and its place), packed by chunk and hash bucket. A hot
+Scale. A window sends about twelve bytes (its hash and its place), packed by chunk and hash bucket. A hot
 passage, in a third of all rows, sends one entry for each chunk, as a partial aggregate would.
 Reports are packed by document bucket and written to the shared folder, after which the
 window shuffle is released before the texts move. The number of buckets follows the input,
@@ -33,22 +33,23 @@ from .common import Stored, U64, named, release, stored, table, text_blocks, win
 
 WIDTH = 20
 WINDOWS_PER_CHUNK = 1_500_000
-WINDOWS_PER_BUCKET = 1_500_000
+WINDOWS_PER_BUCKET = 2_500_000
 TEXT_BYTES_PER_BUCKET = 8 << 20
 #: A document's windows are addressed by page and 16-bit offset.
 PAGE_BITS = 16
-ENTRY = np.dtype([("doc", "<i8"), ("text", "<i8"), ("page", "<i4"), ("n", "<i4")])
+#: text: 32 bits of the text's hash, which tell rows that share a doc_id apart; more: windows of the page less one.
+ENTRY = np.dtype([("doc", "<i8"), ("text", "<i4"), ("page", "<u2"), ("more", "<u2")])
 PACKED = pa.schema([("bucket", pa.int64()), ("payload", pa.binary())])
 
 
 def _pack(docs: np.ndarray, texts: np.ndarray, starts: np.ndarray, hashes: np.ndarray | None) -> bytes:
     """Windows in order of document and start, as a table of pages, 16-bit offsets and hashes."""
-    page = (starts >> PAGE_BITS).astype(np.int32)
+    page = (starts >> PAGE_BITS).astype(np.uint16)
     change = np.flatnonzero((docs[1:] != docs[:-1]) | (texts[1:] != texts[:-1]) | (page[1:] != page[:-1])) + 1
     first = np.concatenate([[0], change])
     entries = np.empty(len(first), dtype=ENTRY)
     entries["doc"], entries["text"], entries["page"] = docs[first], texts[first], page[first]
-    entries["n"] = np.diff(np.concatenate([first, [len(docs)]]))
+    entries["more"] = np.diff(np.concatenate([first, [len(docs)]])) - 1
     parts = [np.array([len(entries), len(docs)], dtype="<i8").tobytes(), entries.tobytes(), (starts & 0xFFFF).astype("<u2").tobytes()]
     if hashes is not None:
         parts.append(hashes.astype("<u8").tobytes())
@@ -60,10 +61,11 @@ def _unpack(payload: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
     n_entries, n = (int(x) for x in np.frombuffer(payload, "<i8", 2))
     entries = np.frombuffer(payload, ENTRY, n_entries, 16)
     at = 16 + n_entries * ENTRY.itemsize
-    starts = np.repeat(entries["page"].astype(np.int64) << PAGE_BITS, entries["n"]) + np.frombuffer(payload, "<u2", n, at)
+    counts = entries["more"].astype(np.int64) + 1
+    starts = np.repeat(entries["page"].astype(np.int64) << PAGE_BITS, counts) + np.frombuffer(payload, "<u2", n, at)
     at += 2 * n
     hashes = np.frombuffer(payload, "<u8", n, at) if len(payload) > at else np.zeros(0, dtype=U64)
-    return np.repeat(entries["doc"], entries["n"]), np.repeat(entries["text"], entries["n"]), starts, hashes
+    return np.repeat(entries["doc"], counts), np.repeat(entries["text"], counts), starts, hashes
 
 
 def _later(docs: np.ndarray, starts: np.ndarray, groups: np.ndarray) -> np.ndarray:
@@ -212,9 +214,10 @@ def repeated_windows(docs: DataFrame, width: int = WIDTH) -> tuple[DataFrame, St
     n_hash = max(1, -(-size // (6 * WINDOWS_PER_BUCKET)))
     n_doc = max(1, -(-size // TEXT_BYTES_PER_BUCKET))
     texts = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
-    texts = texts.select("doc_id", "text", F.xxhash64("text").alias("text_key"), bucket_column(n_doc).alias("doc_bucket"))
-    sent = texts.mapInArrow(_send(width, n_hash), "bucket long, payload binary")
-    reports = stored(sent.groupBy("bucket").applyInArrow(_count(n_doc), "bucket long, payload binary"))
+    texts = texts.select("doc_id", "text", F.xxhash64("text").bitwiseAND(0x7FFFFFFF).cast("int").alias("text_key"), bucket_column(n_doc).alias("doc_bucket"))
+    schema = "bucket long, payload binary"
+    # nothing may hold this plan once it has run: its shuffle is released before the texts move
+    reports = stored(texts.mapInArrow(_send(width, n_hash), schema).groupBy("bucket").applyInArrow(_count(n_doc), schema))
     release(spark)
     return texts, reports
 
