@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from . import pii, simhash, substring_dedup, token_counts
+from . import brown_lm, pii, sentencepiece_nbest, simhash, substring_dedup, token_counts, topk_search
 
 QUERIES = {
     "op2_simhash_near_dedup": simhash.op2_simhash_near_dedup,
+    "op5_sentencepiece": sentencepiece_nbest.op5_sentencepiece,
     "op6_pii": pii.op6_pii,
     "op7_substring_dedup": substring_dedup.op7_substring_dedup,
+    "op8_topk_search": topk_search.op8_topk_search,
     "op9_token_counts": token_counts.op9_token_counts,
+    "op10_brown_lm": brown_lm.op10_brown_lm,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op8_topk_search": topk_search.ORACLE}
