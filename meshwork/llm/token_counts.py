@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table, text_blocks
+from .common import stored, table, text_blocks
 
 VOCABULARY = os.environ.get("MESHWORK_TOKENIZERS", "/opt/tokenizers") + "/byte_bpe_50k.tiktoken"
 MAX_VOCABULARY_BYTES = 16 << 20
@@ -148,5 +148,8 @@ def truncated_totals(histogram: DataFrame, limits: list[int]) -> DataFrame:
 
 
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The length histogram of all documents with its suffix sums."""
-    return suffix_sums(length_histogram(table(spark, sf_dir, "documents")))
+    """The length histogram of all documents with its suffix sums.
+
+    The sums use the histogram twice, so it is stored: texts are encoded once.
+    """
+    return suffix_sums(stored(length_histogram(table(spark, sf_dir, "documents"))).df)
