@@ -8,7 +8,9 @@ array, on which words are found and hashed without a Python loop.
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Iterable, Iterator
 from typing import NamedTuple
@@ -67,10 +69,12 @@ def release(spark: SparkSession) -> None:
     Shuffle files go when the JVM collects the plan that made them. A driver with a quiet heap
     may not collect for hours, so a job with several large shuffles asks for it between them.
     """
-    import gc
-
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(3):
+        # Python's proxies let go of their plans a moment after they are collected
+        gc.collect()
+        time.sleep(0.5)
+        spark.sparkContext._jvm.System.gc()
+    time.sleep(0.5)
 
 
 class Block(NamedTuple):
