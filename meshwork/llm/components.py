@@ -1,7 +1,7 @@
 """Connected components of a link table by alternating large-star and small-star steps.
 
 Both steps are a group minimum (combined on the map side) joined back to the links, so a node with a
-third of all links is a skewed join, which adaptive execution splits. Every round is written to
+third of all links is a skewed sort-merge join, which adaptive execution splits. Every round is written to
 the shared folder; the round before is deleted. No links or labels reach the driver, only a
 count and a checksum. Rounds grow with the logarithm of the component size.
 """
@@ -17,13 +17,13 @@ from .common import Stored, stored
 def _large_star(links: DataFrame) -> DataFrame:
     both = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-    return both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
+    return both.filter("b > a").hint("merge").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
 
 
 def _small_star(links: DataFrame) -> DataFrame:
     down = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     least = down.groupBy("a").agg(F.min("b").alias("m"))
-    moved = down.join(least, "a")
+    moved = down.hint("merge").join(least, "a")
     moved = moved.select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b")))
     return moved.filter("a <> b").distinct()
 
