@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from . import brown_lm, pii, sentencepiece_nbest, simhash, substring_dedup, token_counts, topk_search
+from . import brown_lm, pii, quality_crf, sentencepiece_nbest, simhash, substring_dedup, token_counts, topk_search, toxicity
 
 QUERIES = {
     "op2_simhash_near_dedup": simhash.op2_simhash_near_dedup,
+    "op3_toxicity": toxicity.op3_toxicity,
+    "op4_quality_crf": quality_crf.op4_quality_crf,
     "op5_sentencepiece": sentencepiece_nbest.op5_sentencepiece,
     "op6_pii": pii.op6_pii,
     "op7_substring_dedup": substring_dedup.op7_substring_dedup,
