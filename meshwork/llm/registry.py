@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import brown_lm, pii, quality_crf, sentencepiece_nbest, simhash, substring_dedup, token_counts, topk_search, toxicity
+from . import brown_lm, decontamination, pii, quality_crf, sentencepiece_nbest, simhash, substring_dedup, token_counts, topk_search, toxicity
 
 QUERIES = {
+    "op1_decontamination": decontamination.op1_decontamination,
     "op2_simhash_near_dedup": simhash.op2_simhash_near_dedup,
     "op3_toxicity": toxicity.op3_toxicity,
     "op4_quality_crf": quality_crf.op4_quality_crf,

@@ -1,0 +1,140 @@
+import random
+import zlib
+
+import numpy as np
+import pytest
+
+from meshwork.llm import quality_crf, toxicity
+from meshwork.llm.common import text_blocks
+from tests.llm.helpers import corpus, frame
+
+
+def labels(spark, rows, label):
+    return spark.createDataFrame([(i, x, "x") for i, x in rows], f"doc_id long, {label} int, score string")
+
+
+def auc(scores, truth):
+    pairs = [(a > b) + 0.5 * (a == b) for a, x in zip(scores, truth) if x for b, y in zip(scores, truth) if not y]
+    return sum(pairs) / len(pairs)
+
+
+def held_out(i):
+    return zlib.crc32(str(i).encode()) % 5 == 0
+
+
+def toxic_corpus(n=400):
+    r = random.Random(5)
+    words = [f"w{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(300)]
+    rows, truth = [], []
+    for i in range(n):
+        own = [r.choice(words) for _ in range(r.randint(1, 60))]
+        bad = r.random() < 0.25
+        if bad:
+            own.insert(r.randrange(len(own) + 1), r.choice(["grumble", "zorkish", "zorkly", "zorkor"]))
+        rows.append((i, " ".join(own)))
+        truth.append(int(bad))
+    return rows, truth
+
+
+def test_toxicity_held_out(spark, tmp_path):
+    rows, truth = toxic_corpus()
+    frame(spark, rows + [(9000, None), (9001, ""), (None, "zorkish x"), (9002, "wa " * 20000), (3, rows[3][1])]).write.parquet(f"{tmp_path}/documents.parquet")
+    labels(spark, [(i, t) for (i, _), t in zip(rows, truth)] + [(5, None), (None, 1), (5, truth[5])], "toxic").write.parquet(f"{tmp_path}/labels.parquet")
+    got = toxicity.op3_toxicity(spark, str(tmp_path)).collect()
+    assert len(got) == len(rows) + 5
+    by = {r.doc_id: r for r in got}
+    assert all(by[i].held_out == held_out(i) for i in range(len(rows)))
+    mine = [(by[i].score, truth[i]) for i in range(len(rows)) if held_out(i)]
+    assert auc(*zip(*mine)) > 0.98
+    assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in got)
+    kept = toxicity.keep_clean(frame(spark, rows + [(None, None)]), labels(spark, [(i, t) for (i, _), t in zip(rows, truth)], "toxic"))
+    assert kept.columns == frame(spark, []).columns
+    ids = {r.doc_id for r in kept.collect()}
+    assert None in ids and sum(i in ids for (i, _), t in zip(rows, truth) if not t) == truth.count(0)
+
+
+def test_label_model_finds_accuracies_and_correlation():
+    r = np.random.default_rng(2)
+    y = (r.random(4000) < 0.3).astype(int)
+    good = np.where(r.random(4000) < 0.9, y, 1 - y)
+    copy = good.copy()
+    noise = (r.random(4000) < 0.5).astype(int)
+    model, posterior = toxicity.fit_label_model(np.column_stack([good, copy, noise]), y)
+    assert abs(model.rate[1, 0] - 0.9) < 0.1 and abs(model.rate[0, 0] - 0.1) < 0.1
+    assert abs(model.rate[1, 2] - model.rate[0, 2]) < 0.1
+    assert model.weight[0] < 0.6 < model.weight[2]
+    assert auc(posterior[:500], y[:500]) > 0.99
+
+
+def junk_corpus(n=300):
+    r = random.Random(6)
+    words = [f"w{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(300)]
+    rows, good = [], []
+    for i in range(n):
+        lines = [" ".join(r.choice(words) for _ in range(r.randint(3, 12))) + "." for _ in range(r.randint(1, 6))]
+        bad = r.random() < 0.3
+        if bad:
+            at = r.randrange(len(lines) + 1)
+            lines[at:at] = [r.choice([(r.choice(words) + " ") * 20, " | ".join(r.choice(words) for _ in range(25)), " ".join(r.choice(words) + "###" for _ in range(25))]) for _ in range(2)]
+        rows.append((i, "\n".join(lines)))
+        good.append(int(not bad))
+    return rows, good
+
+
+def test_quality_held_out(spark, tmp_path):
+    rows, good = junk_corpus()
+    frame(spark, rows + [(9000, None), (9001, ""), (None, "\n\n"), (9002, "wa wb.\n" * 3000), (3, rows[3][1])]).write.parquet(f"{tmp_path}/documents.parquet")
+    labels(spark, [(i, t) for (i, _), t in zip(rows, good)] + [(None, 1), (5, None)], "quality").write.parquet(f"{tmp_path}/labels.parquet")
+    got = quality_crf.op4_quality_crf(spark, str(tmp_path)).collect()
+    assert len(got) == len(rows) + 5
+    by = {r.doc_id: r for r in got}
+    mine = [(by[i].score, good[i]) for i in range(len(rows)) if held_out(i)]
+    assert auc(*zip(*mine)) > 0.95
+    assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.3) for r in got)
+
+
+@pytest.mark.parametrize("module,label", [(toxicity, "toxic"), (quality_crf, "quality")])
+def test_no_labels_and_empty_tables(spark, module, label):
+    none = labels(spark, [], label)
+    model = module.fit(frame(spark, corpus(1, n=5)), none)
+    assert {r.score for r in module.scores(frame(spark, [(1, "a"), (2, None)]), model).collect()} == {0.5}
+    assert module.scores(frame(spark, []), module.fit(frame(spark, []), none)).collect() == []
+
+
+def test_forward_backward_equals_enumeration():
+    r = np.random.default_rng(3)
+    counts = np.array([3, 1, 4])
+    emission = r.normal(size=8)
+    transition = r.normal(size=(2, 2))
+    marginal, pairs, log_z = quality_crf.forward_backward(emission, counts, transition)
+    want, total, links = [], 0.0, np.zeros((2, 2))
+    at = 0
+    for n in counts:
+        weights = {}
+        for code in range(2**n):
+            y = [code >> k & 1 for k in range(n)]
+            weights[tuple(y)] = np.exp(sum(emission[at + k] * y[k] for k in range(n)) + sum(transition[a, b] for a, b in zip(y, y[1:])))
+        z = sum(weights.values())
+        total += np.log(z)
+        want += [sum(w for y, w in weights.items() if y[k]) / z for k in range(n)]
+        for y, w in weights.items():
+            for a, b in zip(y, y[1:]):
+                links[a, b] += w / z
+        at += n
+    assert np.allclose(marginal, want) and np.allclose(pairs, links) and np.isclose(log_z, total)
+
+
+def test_line_features_by_hand():
+    import pyarrow as pa
+
+    texts = ["ab ab c.\n\nX|1", "", None, "é é é\né é é\n"]
+    batch = pa.record_batch([pa.array(texts)], names=["text"])
+    (block,) = text_blocks([batch])
+    raw, size, counts = quality_crf.line_features(block)
+    assert counts.tolist() == [3, 1, 1, 3]
+    f = {n: raw[:, k].tolist() for k, n in enumerate(quality_crf.FEATURES)}
+    assert f["words"] == [3, 0, 1, 0, 0, 3, 3, 0]
+    assert np.allclose(f["distinct"], [2 / 3, 1, 1, 1, 1, 1 / 3, 1 / 3, 1])
+    assert np.allclose(f["adjacent"], [1 / 3, 0, 0, 0, 0, 2 / 3, 2 / 3, 0])
+    assert f["equal_lines"] == [0, 0, 0, 0, 0, 1, 1, 0]
+    assert size.tolist() == [9, 1, 4, 1, 1, 9, 9, 1]
