@@ -77,6 +77,12 @@ class Graph:
         kept = self.edges.join(own.withColumnRenamed("node", "src"), "src", "left_semi").join(own.withColumnRenamed("node", "dst"), "dst", "left_semi")
         return Graph(kept.select("src", "dst", "weight", "eid"), self.n_nodes, self.directed, self.weighted)
 
+    def to_pandas_edges(self, max_rows: int = 200_000):
+        """The edges on the driver, for other libraries; refuses to collect more than ``max_rows``."""
+        if self.edges.limit(max_rows + 1).count() > max_rows:
+            raise ValidationError(f"more than {max_rows} edges: raise max_rows to collect them")
+        return self.edges.select("src", "dst", "weight").toPandas()
+
     def dense(self, values: DataFrame, column: str, default) -> DataFrame:
         """(node, column) for every node, ``default`` where ``values`` has none."""
         return self.vertices.join(values, "node", "left").select("node", F.coalesce(F.col(column), F.lit(default)).alias(column))

@@ -105,6 +105,16 @@ def test_view_adjacency_summary(spark):
     assert [r.value for r in degree.adjacency(last, "dense").collect()] == [3.0]
     s = degree.summary(graph(spark, "K3")).first()
     assert (s.n_nodes, s.n_edges, s.avg_degree, s.density) == (3, 3, 2.0, 1.0)
+    assert len(g.to_pandas_edges()) == 7
+    with pytest.raises(ValidationError):
+        g.to_pandas_edges(3)
+
+
+def test_logs(capsys):
+    from meshwork.logs import set_up
+
+    set_up(style="json").info("said")
+    assert '"message": "said"' in capsys.readouterr().err
 
 
 def test_sources_and_round_trip(spark, tmp_path):
