@@ -31,7 +31,7 @@ from .common import U64, Block, mixed, table, text_blocks, word_hashes, word_spa
 from .labelled import HELD_OUT, labelled_sample
 from .toxicity import fit_linear
 
-MAX_LABELLED = 6_000
+MAX_LABELLED = 5_000
 MAX_LINES = 200
 BINS = 6
 ROUNDS = 3
@@ -256,8 +256,9 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) ->
     x = with_neighbours(binned(raw, edges), counts)
     of_bad = np.repeat(good == 0, counts)
     heads = np.concatenate([[0], np.cumsum(counts)[:-1]])
-    w = fit_linear(x[:, :-1], of_bad.astype(np.float64), l2=5.0, steps=8)
-    suspect = x[:, :-1] @ w[:-1] + w[-1]
+    own = x[:, : (x.shape[1] - 1) // 3]
+    w = fit_linear(own, of_bad.astype(np.float64), l2=5.0, steps=8)
+    suspect = own @ w[:-1] + w[-1]
     suspect = 1 / (1 + np.exp(-np.clip(suspect, -30, 30)))
     emission, transition = np.zeros(x.shape[1]), np.zeros((2, 2))
     for _ in range(ROUNDS):
