@@ -36,7 +36,7 @@ def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, score, second_score, n_pieces, round_trip, ids) of each document's best segmentation."""
-    return sentencepiece_nbest.best_ids(docs)
+    return sentencepiece_nbest.best_ids(docs, remembered=250_000)
 
 
 STAGES = [
