@@ -37,8 +37,10 @@ WINDOWS_PER_BUCKET = 2_500_000
 TEXT_BYTES_PER_BUCKET = 8 << 20
 #: A document's windows are addressed by page and 16-bit offset.
 PAGE_BITS = 16
-#: text: 32 bits of the text's hash, which tell rows that share a doc_id apart; more: windows of the page less one.
-ENTRY = np.dtype([("doc", "<i8"), ("text", "<i4"), ("page", "<u2"), ("more", "<u2")])
+#: text: the text's hash, which tells rows that share a doc_id apart; more: windows of the entry less one.
+ENTRY = np.dtype([("doc", "<i8"), ("text", "<i8"), ("page", "<u2"), ("more", "<u2")])
+#: Repeated rows of one doc_id can have more windows on a page: they take several entries.
+WINDOWS_PER_ENTRY = 1 << 16
 PACKED = pa.schema([("bucket", pa.int64()), ("payload", pa.binary())])
 
 
@@ -47,6 +49,9 @@ def _pack(docs: np.ndarray, texts: np.ndarray, starts: np.ndarray, hashes: np.nd
     page = (starts >> PAGE_BITS).astype(np.uint16)
     change = np.flatnonzero((docs[1:] != docs[:-1]) | (texts[1:] != texts[:-1]) | (page[1:] != page[:-1])) + 1
     first = np.concatenate([[0], change])
+    sizes = np.diff(np.append(first, len(docs)))
+    if sizes.max() > WINDOWS_PER_ENTRY:
+        first = np.concatenate([np.arange(a, a + n, WINDOWS_PER_ENTRY) for a, n in zip(first, sizes)])
     entries = np.empty(len(first), dtype=ENTRY)
     entries["doc"], entries["text"], entries["page"] = docs[first], texts[first], page[first]
     entries["more"] = np.diff(np.concatenate([first, [len(docs)]])) - 1
@@ -214,7 +219,7 @@ def repeated_windows(docs: DataFrame, width: int = WIDTH) -> tuple[DataFrame, St
     n_hash = max(1, -(-size // (6 * WINDOWS_PER_BUCKET)))
     n_doc = max(1, -(-size // TEXT_BYTES_PER_BUCKET))
     texts = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
-    texts = texts.select("doc_id", "text", F.xxhash64("text").bitwiseAND(0x7FFFFFFF).cast("int").alias("text_key"), bucket_column(n_doc).alias("doc_bucket"))
+    texts = texts.select("doc_id", "text", F.xxhash64("text").alias("text_key"), bucket_column(n_doc).alias("doc_bucket"))
     schema = "bucket long, payload binary"
     # nothing may hold this plan once it has run: its shuffle is released before the texts move
     reports = stored(texts.mapInArrow(_send(width, n_hash), schema).groupBy("bucket").applyInArrow(_count(n_doc), schema))

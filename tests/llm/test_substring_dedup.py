@@ -61,3 +61,22 @@ def test_words_past_a_page(spark):
     rows = [(2, " ".join(f"a{i}" for i in range(70_000)) + " " + tail), (1, tail)]
     got = {r.doc_id: r.n_removed for r in op.substring_dedup(frame(spark, rows)).collect()}
     assert got == {1: 0, 2: 40}
+
+
+def test_many_repeated_rows_of_one_doc_id(spark):
+    """More windows in one document, text and page than an entry can count."""
+    text = " ".join(f"w{k}" for k in range(1000))
+    got = op.substring_dedup(frame(spark, [(1, text)] * 70 + [(2, text)], partitions=1)).collect()
+    assert sorted((r.doc_id, r.n_words, r.n_removed) for r in got) == [(1, 1000, 0)] * 70 + [(2, 1000, 1000)]
+
+
+def test_texts_of_one_doc_id_are_told_apart(spark):
+    """Two texts whose hashes share their lower 31 bits: one repeats itself, the other does not."""
+    passage = " ".join(f"p{k}" for k in range(25))
+    plain = " ".join(f"q{k}" for k in range(50))
+    key = "xxhash64(text) & 2147483647 AS key"
+    a = spark.range(100_000).selectExpr(f"concat('{passage} {passage} x', id) AS text").selectExpr("text AS a", key)
+    b = spark.range(100_000).selectExpr(f"concat('{plain} y', id) AS text").selectExpr("text AS b", key)
+    pair = a.join(b, "key").orderBy("a", "b").first()
+    got = op.substring_dedup(frame(spark, [(1, pair.a), (1, pair.b)])).collect()
+    assert sorted((r.n_words, r.n_removed) for r in got) == [(51, 0), (51, 25)]
