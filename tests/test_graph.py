@@ -148,3 +148,11 @@ def test_streaming_degree(spark, tmp_path):
     q = stream.writeStream.outputMode("complete").format("memory").queryName("degrees").option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start()
     q.awaitTermination(60)
     assert {r.node: r.degree for r in spark.table("degrees").collect()} == {0: 2, 1: 2, 2: 1}
+
+
+def test_louvain_goes_on_until_nothing_gains(spark):
+    """A path, on which four rounds in one direction each leave nearly every node alone."""
+    graph = Graph.of(spark.createDataFrame([(k, k + 1) for k in range(39)], "src long, dst long"), 40)
+    found = community.louvain(graph)
+    assert found.count() == 40
+    assert community.modularity(graph, found).first()[0] > 0.6
