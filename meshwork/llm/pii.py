@@ -47,7 +47,7 @@ _OCTETS = re.compile(r"[0-9]+(?:\.[0-9]+)*")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])*")
 _PHONE = re.compile(r"[ ().0-9-]*")
 _URL = re.compile(r"[^\s<>\"']+")
-_VALUE = re.compile(r"\s{0,2}(?:[:=]|\bis\b)\s{0,2}[\"']?([A-Za-z0-9_-]{6,64})")
+_VALUE = re.compile(r"\s{0,2}(?:[:=]|\bis\b)\s{0,2}[\"']?([A-Za-z0-9_-]{6,})")
 
 Span = tuple[int, int, int]
 

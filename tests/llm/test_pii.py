@@ -70,3 +70,8 @@ def test_query(spark, tmp_path):
     assert got[1].base_sha256 == hashlib.sha256(b"email:0:6,ip:7:14").hexdigest()
     assert got[2].base_sha256 == hashlib.sha256(b"").hexdigest() and got[2].spans == ""
     assert len(got) == 3
+
+
+def test_a_long_secret_is_masked_to_its_end():
+    secret = "0123456789abcdef" * 8
+    assert op.masked(f"token={secret} and more") == "token=[account] and more"
