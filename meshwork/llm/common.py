@@ -1,23 +1,23 @@
 """Shared plumbing: shared-folder tables, bounded text blocks and vectorised word hashing.
 
 Texts reach Python as Arrow batches. :func:`text_blocks` cuts every batch into blocks of a few
-megabytes (one very long text makes a block of its own), so a worker's memory is bounded by the
-block size and the longest text, not by the batch. A block's texts lie end to end in one byte
+megabytes (one very long text makes a block of its own), so what an operator builds from a block is bounded
+by the block size and the longest text, not by the batch. A block's texts lie end to end in one byte
 array, on which words are found and hashed without a Python loop.
 """
 
 from __future__ import annotations
 
-import gc
 import tempfile
-import time
 import uuid
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
 U64 = np.uint64
@@ -26,9 +26,12 @@ SPACE = np.zeros(256, dtype=bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
-#: Odd multiplier of the Rabin-Karp polynomials, modulo 2**64, and its inverse.
+#: Odd multiplier of the Rabin-Karp polynomials over word hashes, modulo 2**64, and its inverse.
 BASE = 0x9E3779B97F4A7C15
 BASE_INVERSE = pow(BASE, -1, 1 << 64)
+#: Words of more bytes are hashed one by one.
+LONG_WORD = 256
+FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,10 +39,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; a temporary one only where none is set (tests)."""
+    """The cluster's checkpoint folder; a temporary one only where none is set and all runs on one machine (tests)."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="meshwork-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not (sc.master == "local" or sc.master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="meshwork-"))
     return sc.getCheckpointDir()
 
 
@@ -55,28 +61,26 @@ class Stored(NamedTuple):
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+@contextmanager
+def shuffles_freed(spark: SparkSession):
+    """Spark deletes the shuffle files of a write made in here as soon as it has ended."""
+    before = spark.conf.get(FREE_SHUFFLES, None)
+    spark.conf.set(FREE_SHUFFLES, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(FREE_SHUFFLES) if before is None else spark.conf.set(FREE_SHUFFLES, before)
+
+
 def stored(df: DataFrame) -> Stored:
     """Write ``df`` as Parquet to the shared folder and read it back."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with shuffles_freed(spark):
+        df.select("*").write.parquet(path)
     return Stored(spark.read.schema(df.schema).parquet(path), path)
 
 
-def release(spark: SparkSession) -> None:
-    """Have Spark delete the shuffle files of plans that are no longer referenced.
-
-    Shuffle files go when the JVM collects the plan that made them. A driver with a quiet heap
-    may not collect for hours, so a job with several large shuffles asks for it between them.
-    """
-    for _ in range(3):
-        # Python's proxies let go of their plans a moment after they are collected
-        gc.collect()
-        time.sleep(0.5)
-        spark.sparkContext._jvm.System.gc()
-    time.sleep(0.5)
-
-
 class Block(NamedTuple):
     """Some rows of a batch; text i is ``data[offsets[i]:offsets[i + 1]]``, a null text is empty."""
 
@@ -126,25 +130,6 @@ def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return starts, np.flatnonzero(word & ~after) + 1, np.searchsorted(starts, offsets)
 
 
-_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first n powers of BASE and of its inverse."""
-    have = _POWERS.get(0)
-    if have is None or len(have[0]) < n:
-        size = max(n, 1 << 16)
-        made = []
-        for base in (BASE, BASE_INVERSE):
-            x = np.full(size, base, dtype=U64)
-            x[0] = 1
-            made.append(np.cumprod(x, dtype=U64))
-        have = (made[0], made[1])
-        if size <= 8 << 20:
-            _POWERS[0] = have
-    return have[0][:n], have[1][:n]
-
-
 def mixed(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser: spreads every input bit over the whole word."""
     x = x ^ (x >> U64(30))
@@ -155,11 +140,48 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of every word's bytes, alike in every process."""
-    up, down = powers(len(data) + 1)
-    total = np.zeros(len(data) + 1, dtype=U64)
-    np.cumsum((data.astype(U64) + U64(1)) * up[: len(data)], out=total[1:])
-    return mixed((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(U64) * U64(0xD6E8FEB86659FD93))
+    """A 64-bit hash of every word's bytes, alike in every process.
+
+    Words are taken eight bytes at a time, all words of a block together, and every step goes through the
+    finaliser, so no arithmetic structure of the bytes survives.
+    """
+    sizes = ends - starts
+    out = mixed(sizes.astype(U64) * U64(BASE))
+    if not len(starts):
+        return out
+    padded = np.zeros(len(data) + 8, dtype=np.uint8)
+    padded[: len(data)] = data
+    eight = np.ndarray(len(data) + 1, dtype="<u8", buffer=padded, strides=(1,))
+    at = np.flatnonzero(sizes <= LONG_WORD)
+    done = 0
+    while len(at):
+        left = sizes[at] - done
+        chunk = eight[starts[at] + done]
+        short = left < 8
+        chunk[short] &= (U64(1) << (left[short] * 8).astype(U64)) - U64(1)
+        out[at] = mixed(out[at] ^ chunk)
+        done += 8
+        at = at[left > 8]
+    for k in np.flatnonzero(sizes > LONG_WORD).tolist():
+        out[k] = xxhash.xxh64_intdigest(data[starts[k] : ends[k]].tobytes(), 42)
+    return out
+
+
+_POWERS: list[np.ndarray] = []
+
+
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of BASE and of its inverse; those of an ordinary block are kept."""
+    if _POWERS and len(_POWERS[0]) >= n:
+        return _POWERS[0][:n], _POWERS[1][:n]
+    made = []
+    for base in (BASE, BASE_INVERSE):
+        x = np.full(max(n, 1 << 19), base, dtype=U64)
+        x[0] = 1
+        made.append(np.cumprod(x, dtype=U64))
+    if len(made[0]) == 1 << 19:
+        _POWERS[:] = made
+    return made[0][:n], made[1][:n]
 
 
 def window_hashes(words: np.ndarray, bounds: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:

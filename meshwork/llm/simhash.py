@@ -9,15 +9,16 @@ under every value within that small Hamming ball of its own segments; what meets
 bits inside the join. Components are then found over the links.
 
 Scale. Documents collapse to distinct fingerprints (a partial aggregate) before anything is looked up,
-so thousands of copies cost one fingerprint. Lookups grow in proportion to fingerprints; the number of
-segments follows the number of fingerprints so that a table slot stays short. Verification is a
-condition of the join: candidates are never rows. A hot segment value is a skewed sort-merge
-join, which adaptive execution splits. Fingerprints and links stay in tables in the shared folder.
+so thousands of copies cost one fingerprint. A fingerprint has a fixed number of lookups, whatever the corpus: 45 with three
+segments; two segments (``segments=2``, 562 lookups) give the same links and pay where billions of fingerprints crowd
+the tables. Verification is a condition of the join, and what it finds leaves a task as a spanning forest: m near
+fingerprints send m - 1 links, not all their pairs. A hot segment value, component or fingerprint is a skewed sort-merge
+join of two plain shuffles, which adaptive execution splits. Fingerprints, links and labels stay in tables in the shared folder.
 
 Edge cases. A null, empty or blank text has fingerprint zero and links like any other; a text of
 fewer words than a shingle is one shingle. Rows without doc_id take no part. Repeated rows and
 rows that share a doc_id each give a row; a component's id is its smallest doc_id. An empty table
-gives an empty result. Other columns are ignored.
+gives an empty result. Other columns are ignored. :func:`keep_one` tells rows of one doc_id apart by their texts.
 """
 
 from __future__ import annotations
@@ -28,17 +29,16 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U64, Stored, named, stored, table, text_blocks
-from .components import components
+from .common import U64, named, stored, table, text_blocks
+from .components import components, spanning_forest
 
 SHINGLE = 4
 RADIUS = 4
 SEED = 42
-#: Up to so many fingerprints three segments are used (21 bits and more), beyond that two of 32 bits.
-MANY = 1 << 27
+SEGMENTS = 3
 
 
 def shingles(text: bytes, size: int) -> list[bytes]:
@@ -49,7 +49,7 @@ def shingles(text: bytes, size: int) -> list[bytes]:
 
 
 def fingerprint_table(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
-    """(doc_id, fingerprint as a signed long)."""
+    """(doc_id, text_key, fingerprint as a signed long); text_key is a hash of the text."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashed = xxhash.xxh64_intdigest
@@ -65,9 +65,10 @@ def fingerprint_table(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
                 heads = np.concatenate([[0], np.cumsum(counts[full])[:-1]])
                 ones = np.add.reduceat(bits, heads, axis=0, dtype=np.int32)
                 prints[full] = np.packbits(2 * ones > counts[full][:, None], axis=1, bitorder="little").view(U64).ravel()
-            yield pa.record_batch([block.rows.column(0), pa.array(prints.view(np.int64), pa.int64())], names=["doc_id", "fingerprint"])
+            yield pa.record_batch([block.column("doc_id"), block.column("text_key"), pa.array(prints.view(np.int64), pa.int64())], names=["doc_id", "text_key", "fingerprint"])
 
-    return named(docs, "doc_id", "text").mapInArrow(run, "doc_id long, fingerprint long")
+    keyed = named(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("text_key"))
+    return keyed.mapInArrow(run, "doc_id long, text_key long, fingerprint long")
 
 
 def segment_balls(segments: int, radius: int, bits: int = 64) -> list[tuple[int, int, list[int]]]:
@@ -100,31 +101,46 @@ def fingerprint_links(prints: DataFrame, radius: int, segments: int) -> DataFram
     return asked.hint("merge").join(held.hint("merge"), "slot").filter(f"a < b AND bit_count(a ^ b) <= {radius}").select("a", "b")
 
 
-def near_duplicates(docs: DataFrame, radius: int = RADIUS, size: int = SHINGLE, segments: int | None = None) -> DataFrame:
-    """(doc_id, fingerprint, component_id): one row for each document."""
+def labelled(docs: DataFrame, radius: int, size: int, segments: int) -> DataFrame:
+    """(doc_id, text_key, fingerprint, root, component_id): root is the least fingerprint of the component."""
     prints = stored(fingerprint_table(docs, size))
     classes = stored(prints.df.groupBy(F.col("fingerprint").alias("f")).agg(F.min("doc_id").alias("first")))
-    if segments is None:
-        segments = 3 if classes.df.count() <= MANY else 2
-    roots: Stored = components(fingerprint_links(classes.df.select("f"), radius, segments))
-    rooted = classes.df.join(roots.df.withColumnsRenamed({"a": "f", "b": "root"}), "f", "left").withColumn("root", F.coalesce("root", "f"))
-    least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    labels = rooted.select("f", "root").join(least, "root").select(F.col("f").alias("fingerprint"), "component_id")
-    return prints.df.join(labels, "fingerprint", "left").select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
+    links = stored(spanning_forest(fingerprint_links(classes.df.select("f"), radius, segments)))
+    roots = components(links.df)
+    links.drop()
+    # every table below is stored before it is joined, so that no join sits on an aggregate of its own key
+    rooted = stored(classes.df.join(roots.df.withColumnsRenamed({"a": "f", "b": "root"}), "f", "left").withColumn("root", F.coalesce("root", "f")))
+    least = stored(rooted.df.groupBy("root").agg(F.min("first").alias("component_id")))
+    labels = stored(rooted.df.join(least.df, "root").select(F.col("f").alias("fingerprint"), "root", "component_id"))
+    for table_ in (classes, roots, rooted, least):
+        table_.drop()
+    return prints.df.join(labels.df, "fingerprint").select("doc_id", "text_key", "fingerprint", "root", "component_id")
+
+
+def near_duplicates(docs: DataFrame, radius: int = RADIUS, size: int = SHINGLE, segments: int = SEGMENTS) -> DataFrame:
+    """(doc_id, fingerprint, component_id): one row for each document."""
+    return labelled(docs, radius, size, segments).select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def keep_one(docs: DataFrame, radius: int = RADIUS, size: int = SHINGLE, segments: int = SEGMENTS) -> DataFrame:
+    """``docs`` with one row of each component, that of smallest doc_id (of several, of least text_key); rows without doc_id stay."""
+    found = stored(labelled(docs, radius, size, segments))
+    first = stored(found.df.groupBy("root").agg(F.min(F.struct("doc_id", "text_key")).alias("kept")))
+    dropped = found.df.join(first.df, "root").filter("struct(doc_id, text_key) <> kept").select("doc_id", "text_key").distinct()
+    return one_row_each(docs.join(dropped, _same(docs, dropped), "left_anti"), found.df)
 
 
-def keep_one(docs: DataFrame, radius: int = RADIUS, size: int = SHINGLE) -> DataFrame:
-    """``docs`` with the document of smallest doc_id of each component; rows without doc_id stay."""
-    found = near_duplicates(docs, radius, size)
-    return one_row_each(docs.join(found.filter("component_id <> doc_id").select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns))
+def _same(docs: DataFrame, keys: DataFrame) -> Column:
+    return (docs["doc_id"] == keys["doc_id"]) & (F.xxhash64(docs["text"]) == keys["text_key"])
 
 
-def one_row_each(docs: DataFrame) -> DataFrame:
-    """``docs`` with one row for each doc_id; the texts are only grouped if some id occurs twice."""
-    twice = docs.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").select("doc_id")
+def one_row_each(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """``docs`` with one of several rows of equal doc_id and text; texts are only grouped where ``found`` has such rows."""
+    twice = found.groupBy("doc_id", "text_key").count().filter("count > 1").select("doc_id", "text_key")
     if twice.isEmpty():
         return docs
-    return docs.join(twice, "doc_id", "left_anti").select(*docs.columns).unionByName(docs.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns))
+    several = docs.join(twice, _same(docs, twice), "left_semi").dropDuplicates(["doc_id", "text"])
+    return docs.join(twice, _same(docs, twice), "left_anti").unionByName(several)
 
 
 def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

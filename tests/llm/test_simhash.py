@@ -2,10 +2,12 @@ import random
 
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from meshwork.llm import simhash as op
-from meshwork.llm.components import components
+from meshwork.llm.common import stored
+from meshwork.llm.components import components, spanning_forest
 from tests.llm.helpers import corpus, frame
 
 
@@ -41,7 +43,7 @@ def brute(rows, radius=4):
     return sorted((i, f"{f:016x}", least[classes[f]]) for i, f in prints)
 
 
-@pytest.mark.parametrize("segments", [None, 2, 4])
+@pytest.mark.parametrize("segments", [3, 2, 4])
 def test_equals_brute_force(spark, segments):
     rows = corpus(11, n=120)
     long_one = " ".join(f"q{i}" for i in range(400))
@@ -84,3 +86,45 @@ def test_components(spark):
     df = spark.createDataFrame(links, "a long, b long")
     roots = union({x for p in links for x in p}, links)
     assert dict(map(tuple, components(df).df.collect())) == {x: y for x, y in roots.items() if x != y}
+
+
+def test_texts_of_one_doc_id_are_kept_apart(spark):
+    """A doc_id that many texts share: only those that are copies go."""
+    r = random.Random(9)
+    text = [" ".join(f"{k}w{r.randrange(10**6)}" for _ in range(60)) for k in range(4)]
+    rows = [(1, text[0]), (5, text[0]), (5, text[1]), (5, text[1]), (5, text[2]), (7, text[2]), (8, text[3])]
+    kept = op.keep_one(frame(spark, rows)).collect()
+    assert sorted((x.doc_id, x.text) for x in kept) == sorted([(1, text[0]), (5, text[1]), (5, text[2]), (8, text[3])])
+
+
+def test_a_forest_is_linear_and_keeps_components(spark, monkeypatch):
+    r = random.Random(3)
+    pairs = [(a, b) for a in range(200) for b in range(a)] + [(1000 + k, 1001 + k) for k in range(300)] + [(r.randrange(5000, 9000), r.randrange(5000, 9000)) for _ in range(3000)]
+    r.shuffle(pairs)
+    df = spark.createDataFrame(pairs, "a long, b long").repartition(1)
+    nodes = {x for p in pairs for x in p}
+    for held in (1 << 20, 300):
+        monkeypatch.setattr("meshwork.llm.components.HELD", held)
+        got = [tuple(x) for x in spanning_forest(df).collect()]
+        assert union(nodes, got) == union(nodes, pairs)
+        assert held < 1000 or len(got) < len(nodes)
+
+
+def test_hot_nodes_are_skewed_joins(spark):
+    """Both sides of every join of the star steps are plain shuffles: a hub's links are split."""
+    conf = {"spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.1", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "1k", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        links = stored(spark.range(1, 20_000).selectExpr("id AS a", "0L AS b").repartition(8))
+        both = links.df.union(links.df.selectExpr("b", "a"))
+        minima = stored(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")))
+        joined = both.filter("b > a").hint("merge").join(minima.df.hint("merge"), "a")
+        joined.write.format("noop").mode("overwrite").save()
+        joined.collect()
+        assert "skew=true" in joined._jdf.queryExecution().toString()
+        assert dict(map(tuple, components(links.df).df.collect())) == {k: 0 for k in range(1, 20_000)}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
