@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Stored, U64, named, release, stored, table, text_blocks, window_hashes, word_hashes, word_spans
+from .common import Stored, U64, named, stored, table, text_blocks, window_hashes, word_hashes, word_spans
 
 WIDTH = 20
 WINDOWS_PER_CHUNK = 1_500_000
@@ -213,7 +213,6 @@ def _digest(width: int):
 
 def repeated_windows(docs: DataFrame, width: int = WIDTH) -> tuple[DataFrame, Stored]:
     """The prepared texts and the stored reports, both by document bucket."""
-    spark = docs.sparkSession
     docs = named(docs, "doc_id", "text")
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes")).first()["bytes"]
     n_hash = max(1, -(-size // (6 * WINDOWS_PER_BUCKET)))
@@ -221,9 +220,8 @@ def repeated_windows(docs: DataFrame, width: int = WIDTH) -> tuple[DataFrame, St
     texts = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
     texts = texts.select("doc_id", "text", F.xxhash64("text").alias("text_key"), bucket_column(n_doc).alias("doc_bucket"))
     schema = "bucket long, payload binary"
-    # nothing may hold this plan once it has run: its shuffle is released before the texts move
+    # written with its shuffle freed at once: the windows' shuffle is gone before the texts move
     reports = stored(texts.mapInArrow(_send(width, n_hash), schema).groupBy("bucket").applyInArrow(_count(n_doc), schema))
-    release(spark)
     return texts, reports
 
 
