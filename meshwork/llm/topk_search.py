@@ -3,20 +3,20 @@
 Method. Components become integers floor(scale * x), so scores are exact. The rows that a task reads are cut into
 shards; each shard becomes a ball tree (a node has a centre, a radius and its smallest vec_id). For a query q
 no row below a node scores more than q.centre + |q| radius. Nodes are opened in order of that bound; a
-search ends when the best open bound cannot enter the current k best. The k-th score so far is shared: it
-starts from the block's own vectors, is carried from shard to shard within a task, and prunes whole
+search ends when the best open bound cannot enter the current k best. The k-th score so far is shared: every
+task starts from the one that some rows of the table reach already, carries its own from shard to shard, and prunes whole
 shards at their root. A bound that equals the k-th score is opened only while a smaller vec_id may lie below,
 so a common vector in a third of all rows ends a search, not lengthens it.
 
 Scale. Vectors are never shuffled: tasks emit at most k rows for each query and the final ranking is a
-window over those. Queries go out in blocks of ``QUERY_BLOCK`` (checked, by hash of their id), each a broadcast of
-bounded size and a pass over the vectors; that is a stated query set against all rows, in blocks.
+window over those. Queries go out in blocks of ``QUERY_BLOCK`` at most, one after the other: each is a broadcast that goes when
+its pass over the vectors has been stored; that is a stated query set against all rows, in blocks.
 
 Edge cases. Vectors that are null or hold null or non-finite components take no part, nor do rows without vec_id.
 Vectors only meet others of the same length. A query's own vec_id is never its candidate, repeated rows
 included; other repeated rows each count. A query id with several vectors uses the least of them (as
-arrays are ordered). Where integer products might leave 2**53 they are taken in whole numbers, and scores beyond
-64 bits end at the ends of that range. Empty tables give an empty result. Other columns are ignored.
+arrays are ordered). Rows and queries whose products might leave 2**53 are scanned instead, those near the k-th score in whole
+numbers, and scores beyond 64 bits end at the ends of that range. Empty tables give an empty result. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,12 +30,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import stored, table
 
 K = 10
 SCALE = 1024
 QUERY_EVERY = 100
 QUERY_BLOCK = 4096
+#: Rows of the table, any, whose scores give every query's search its first lower bound.
+SEEN_ROWS = 4096
 SHARD_ROWS = 8192
 LEAF_ROWS = 64
 #: Scores up to here are exact in double precision.
@@ -117,59 +119,87 @@ def upper_bounds(tree: Tree, queries: np.ndarray) -> np.ndarray:
     return np.floor(product + reach + 1e-9 * (np.abs(product) + reach) + 0.5)
 
 
-def integers(vectors: np.ndarray, scale: int) -> np.ndarray:
-    """floor(scale * x), whole numbers as doubles; Python integers where a product could be inexact."""
-    whole = np.floor(vectors.astype(np.float64) * scale)
-    most = float(np.abs(whole).max()) if whole.size else 0.0
-    if most * most * max(1, whole.shape[1]) < EXACT:
-        return whole
-    return np.array([[int(x) for x in row] for row in whole.tolist()], dtype=object).reshape(whole.shape)
+def small(vectors: np.ndarray, scale: int) -> np.ndarray:
+    """Which vectors' products with each other are exact in double precision."""
+    return np.abs(vectors).max(axis=1, initial=0.0) < (EXACT / max(1, vectors.shape[1])) ** 0.5 / scale - 1
+
+
+def whole(vector: np.ndarray, scale: int) -> list[int]:
+    """floor(scale * x); doubles from 2**53 on are whole themselves."""
+    return [int(x) * scale if abs(x) >= EXACT else int(np.floor(x * scale)) for x in vector.tolist()]
+
+
+def scaled(vectors: np.ndarray, scale: int) -> tuple[np.ndarray, int]:
+    """floor(scale * x) over two to a power, none above one, and that power."""
+    power = max(0, int(np.frexp(np.abs(vectors).max(initial=0.0))[1]) + scale.bit_length())
+    with np.errstate(over="ignore"):
+        all_whole = np.floor(vectors * scale)
+    return np.where(np.abs(vectors) < EXACT, np.ldexp(all_whole, -power), np.ldexp(vectors, scale.bit_length() - 1 - power) * (scale / (1 << scale.bit_length() - 1))), power
+
+
+def scan(vectors: np.ndarray, ids: np.ndarray, query: np.ndarray, own_id: int, k: int, scale: int, best: list[tuple[int, int]]) -> None:
+    """Put rows among ``best`` by whole-number scores; rows that are too far below the k-th by doubles are passed over."""
+    at = np.flatnonzero(ids != own_id)
+    rows, up = scaled(vectors[at], scale)
+    asked, more = scaled(query[None], scale)
+    about = rows @ asked[0]
+    slack = float((np.abs(rows) @ np.abs(asked[0])).max(initial=0.0)) * max(1, len(query)) * 2.0**-50 + 2.0**-900
+    exact = whole(query, scale)
+    for n in np.argsort(-about, kind="stable").tolist():
+        if len(best) == k and about[n] + 2 * slack < best[0][0] / (1 << up + more):
+            return
+        entry = (sum(a * b for a, b in zip(exact, whole(vectors[at[n]], scale))), -int(ids[at[n]]))
+        if len(best) < k:
+            heappush(best, entry)
+        elif entry > best[0]:
+            heapreplace(best, entry)
 
 
 class Queries(NamedTuple):
     ids: np.ndarray
-    rows: np.ndarray
+    vectors: np.ndarray
+    small: np.ndarray
+    rows: np.ndarray  # whole numbers, where small
     floors: np.ndarray
 
 
-def prepared(found: list[tuple[int, list[float]]], scale: int, k: int) -> dict[int, Queries]:
-    """Queries by vector length, each with a score that k other queries already reach."""
+def prepared(found: list[tuple[int, list[float]]], seen: list[tuple[int, list[float]]], scale: int, k: int) -> dict[int, Queries]:
+    """Queries by vector length, each with a score that k of the rows ``seen`` already reach."""
     out = {}
     for size in sorted({len(v) for _, v in found}):
-        own = [(i, v) for i, v in found if len(v) == size]
-        ids = np.array([i for i, _ in own], dtype=np.int64)
-        rows = integers(np.array([v for _, v in own], dtype=np.float64).reshape(len(own), size), scale)
-        floors = np.full(len(own), -np.inf)
-        if rows.dtype != object and len(own) > k:
-            for at in range(0, len(own), 512):
-                scores = rows[at : at + 512] @ rows.T
-                scores[np.arange(len(scores)), np.arange(at, at + len(scores))] = -np.inf
+        ids, vectors = _arrays(found, size)
+        ok = small(vectors, scale)
+        rows = np.where(ok[:, None], np.floor(np.where(ok[:, None], vectors, 0.0) * scale), 0.0)
+        floors = np.full(len(ids), -np.inf)
+        seen_ids, others = _arrays(seen, size)
+        near = small(others, scale)
+        seen_ids, others = seen_ids[near], np.floor(others[near] * scale)
+        if len(seen_ids) >= k:
+            for at in range(0, len(ids), 512):
+                scores = rows[at : at + 512] @ others.T
+                scores[ids[at : at + 512, None] == seen_ids] = -np.inf
                 floors[at : at + 512] = np.partition(scores, -k, axis=1)[:, -k]
-        out[size] = Queries(ids, rows, floors)
+        out[size] = Queries(ids, vectors, ok, rows, np.where(ok, floors, -np.inf))
     return out
 
 
+def _arrays(found: list[tuple[int, list[float]]], size: int) -> tuple[np.ndarray, np.ndarray]:
+    own = [(i, v) for i, v in found if len(v) == size]
+    return np.array([i for i, _ in own], dtype=np.int64), np.array([v for _, v in own], dtype=np.float64).reshape(len(own), size)
+
+
 def _take(best: dict, asked: Queries, size: int, ids: np.ndarray, vectors: np.ndarray, k: int, scale: int) -> None:
-    rows = integers(vectors, scale)
-    if rows.dtype == object or asked.rows.dtype == object:
-        for own_id, query in zip(asked.ids.tolist(), asked.rows):
-            heap = best.setdefault((size, own_id), [])
-            for i, row in zip(ids.tolist(), rows):
-                if i != own_id:
-                    entry = (sum(int(a) * int(b) for a, b in zip(query, row)), -i)
-                    if len(heap) < k:
-                        heappush(heap, entry)
-                    elif entry > heap[0]:
-                        heapreplace(heap, entry)
-        return
-    most = float(np.abs(rows).max()) * float(np.abs(asked.rows).max()) * max(1, size) if rows.size and asked.rows.size else 0.0
-    if most >= EXACT:
-        _take(best, Queries(asked.ids, asked.rows.astype(object), asked.floors), size, ids, vectors, k, scale)
-        return
-    tree = ball_tree(ids, rows)
-    bounds = upper_bounds(tree, asked.rows)
+    ok = small(vectors, scale)
+    heaps = [best.setdefault((size, q), []) for q in asked.ids.tolist()]
+    if ok.any() and asked.small.any():
+        tree = ball_tree(ids[ok], np.floor(vectors[ok] * scale))
+        bounds = upper_bounds(tree, asked.rows)
+        for n in np.flatnonzero(asked.small).tolist():
+            search(tree, asked.rows[n], int(asked.ids[n]), k, asked.floors[n], heaps[n], bounds[n])
     for n, own_id in enumerate(asked.ids.tolist()):
-        search(tree, asked.rows[n], own_id, k, asked.floors[n], best.setdefault((size, own_id), []), bounds[n])
+        rest = ~ok if asked.small[n] else np.ones(len(ok), dtype=bool)
+        if rest.any():
+            scan(vectors[rest], ids[rest], asked.vectors[n], own_id, k, scale, heaps[n])
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -218,11 +248,14 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = K, scale: int = SCALE
     spark = vectors.sparkSession
     rows = usable(vectors)
     asked = usable(queries).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
+    seen = [(r["vec_id"], r["embedding"]) for r in rows.limit(SEEN_ROWS).collect()]
     n_blocks = max(1, -(-asked.count() // max(1, query_block // 2)))
     found = None
     for b in range(n_blocks):
         block = [(r["vec_id"], r["embedding"]) for r in asked.filter(F.pmod(F.xxhash64("vec_id"), F.lit(n_blocks)) == b).collect()]
-        part = _partial(rows, spark.sparkContext.broadcast(prepared(block, scale, k)), k, scale, shard)
+        sent = spark.sparkContext.broadcast(prepared(block, seen, scale, k))
+        part = stored(_partial(rows, sent, k, scale, shard)).df
+        sent.destroy()
         found = part if found is None else found.union(part)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
