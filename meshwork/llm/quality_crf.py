@@ -8,7 +8,8 @@ the field's own marginals, with the worst line of a bad document always bad. A d
 the length-weighted mean of its lines' forward-backward marginals, mapped to a probability by a
 logistic curve on the same sample.
 
-Scale. The fit uses at most ``MAX_LABELLED`` labelled documents of at most ``MAX_LINES`` lines, on the driver. Scoring
+Scale. The fit uses a sample of at most ``MAX_LABELLED`` labelled documents of any length, in the order of a hash, that ends behind the
+document with which it has ``MAX_LINES`` lines. The driver holds a bin of each feature for every line, not columns. Scoring
 is one narrow map over whole texts; features are sums over byte and word arrays, and the recursions
 run over all texts of a block at once.
 
@@ -24,15 +25,15 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import U64, Block, mixed, table, text_blocks, word_hashes, word_spans
+from .common import U64, Block, mixed, stored, table, text_blocks, word_hashes, word_spans
 from .labelled import HELD_OUT, labelled_sample
 from .toxicity import fit_linear
 
 MAX_LABELLED = 5_000
-MAX_LINES = 200
+MAX_LINES = 200_000
 BINS = 6
 ROUNDS = 3
 STEPS = 60
@@ -113,30 +114,39 @@ def line_features(block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def binned(raw: np.ndarray, edges: list[np.ndarray]) -> np.ndarray:
-    """One column for each bin of each feature."""
-    out = np.zeros((len(raw), sum(len(e) + 1 for e in edges)), dtype=np.float32)
+    """The bin of each feature of each line; a feature's bins come after those of the features before it."""
+    out = np.empty((len(raw), len(edges)), dtype=np.int32)
     at = 0
     for k, e in enumerate(edges):
-        out[np.arange(len(raw)), at + np.searchsorted(e, raw[:, k], "right")] = 1
+        out[:, k] = at + np.searchsorted(e, raw[:, k], "right")
         at += len(e) + 1
     return out
 
 
-def with_neighbours(own: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """The line's columns, then those of the line before and after it in its text (zeros at the ends)."""
+def with_neighbours(own: np.ndarray, counts: np.ndarray, n_bins: int) -> np.ndarray:
+    """The line's bins, then those of the line before and after it in its text (a bin for none at the ends), then one for all lines."""
     n, m = own.shape
-    out = np.zeros((n, 3 * m + 1), dtype=np.float32)
+    out = np.full((n, 3 * m + 1), 3 * n_bins + 1, dtype=np.int32)
     out[:, :m] = own
-    out[:, -1] = 1
-    heads = np.concatenate([[0], np.cumsum(counts)])
+    out[:, -1] = 3 * n_bins
     inner = np.ones(n, dtype=bool)
-    inner[heads[:-1]] = False
+    inner[np.concatenate([[0], np.cumsum(counts)[:-1]])] = False
     rows = np.flatnonzero(inner)
-    out[rows, m : 2 * m] = own[rows - 1]
-    out[rows - 1, 2 * m : 3 * m] = own[rows]
+    out[rows, m : 2 * m] = own[rows - 1] + n_bins
+    out[rows - 1, 2 * m : 3 * m] = own[rows] + 2 * n_bins
     return out
 
 
+def emissions(x: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """The log potential of bad against good of each line; the bin for no neighbour has no weight."""
+    return np.append(weights, 0.0)[x].sum(axis=1)
+
+
+def totals(x: np.ndarray, of_line: np.ndarray, n_weights: int) -> np.ndarray:
+    """The sum of a value of the lines over the lines of each bin."""
+    return np.bincount(x.ravel(), np.repeat(of_line, x.shape[1]), minlength=n_weights + 1)[:n_weights]
+
+
 def forward_backward(emission: np.ndarray, counts: np.ndarray, transition: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
     """P(bad) of each line, expected transitions (2 by 2, summed) and the log partition function.
 
@@ -180,19 +190,19 @@ def forward_backward(emission: np.ndarray, counts: np.ndarray, transition: np.nd
     return both[:, 1] / both.sum(axis=1), pairs, log_z
 
 
-def fit_field(x: np.ndarray, counts: np.ndarray, bad: np.ndarray, l2: float = 2.0, steps: int = STEPS) -> tuple[np.ndarray, np.ndarray]:
+def fit_field(x: np.ndarray, counts: np.ndarray, bad: np.ndarray, n_weights: int, l2: float = 2.0, steps: int = STEPS) -> tuple[np.ndarray, np.ndarray]:
     """Emission weights and transitions by conditional likelihood of the lines' labels (Adam)."""
     inner = np.ones(len(x), dtype=bool)
     inner[np.concatenate([[0], np.cumsum(counts)[:-1]])] = False
     rows = np.flatnonzero(inner)
     seen = np.zeros((2, 2))
     np.add.at(seen, (bad[rows - 1], bad[rows]), 1)
-    theta = np.zeros(x.shape[1] + 4)
+    theta = np.zeros(n_weights + 4)
     first, second = np.zeros_like(theta), np.zeros_like(theta)
-    target = x.T @ bad.astype(np.float32)
+    target = totals(x, bad.astype(np.float64), n_weights)
     for k in range(1, steps + 1):
-        marginal, pairs, _ = forward_backward(x @ theta[:-4].astype(np.float32).astype(np.float64), counts, theta[-4:].reshape(2, 2))
-        gradient = np.concatenate([target - x.T @ marginal.astype(np.float32), (seen - pairs).ravel()]) - l2 * theta
+        marginal, pairs, _ = forward_backward(emissions(x, theta[:-4]), counts, theta[-4:].reshape(2, 2))
+        gradient = np.concatenate([target - totals(x, marginal, n_weights), (seen - pairs).ravel()]) - l2 * theta
         gradient /= len(x)
         first = 0.9 * first + 0.1 * gradient
         second = 0.99 * second + 0.01 * gradient**2
@@ -200,6 +210,23 @@ def fit_field(x: np.ndarray, counts: np.ndarray, bad: np.ndarray, l2: float = 2.
     return theta[:-4], theta[-4:].reshape(2, 2)
 
 
+def fit_lines(own: np.ndarray, bad: np.ndarray, n_bins: int, l2: float = 5.0, steps: int = 8) -> np.ndarray:
+    """P(bad) of each line by logistic regression on its own bins (Newton); where the field's labels start."""
+    w = np.zeros(n_bins + 1)
+    x = np.column_stack([own, np.full(len(own), n_bins)])
+    penalty = np.append(np.full(n_bins, l2), 1e-3)
+    for _ in range(steps):
+        p = 1 / (1 + np.exp(-np.clip(w[x].sum(axis=1), -30, 30)))
+        curve = p * (1 - p) + 1e-6
+        hessian = np.diag(penalty)
+        for column in x.T:
+            # one row of the matrix for each bin of this feature
+            pairs = np.bincount((column[:, None] * (n_bins + 1) + x).ravel(), np.repeat(curve, x.shape[1]), minlength=(n_bins + 1) ** 2)
+            hessian += pairs.reshape(n_bins + 1, -1)
+        w += np.linalg.solve(hessian, totals(x, bad - p, n_bins + 1) - penalty * w)
+    return 1 / (1 + np.exp(-np.clip(w[x].sum(axis=1), -30, 30)))
+
+
 class Model(NamedTuple):
     edges: list[np.ndarray]
     emission: np.ndarray
@@ -208,8 +235,8 @@ class Model(NamedTuple):
 
     def marginals(self, raw: np.ndarray, counts: np.ndarray) -> np.ndarray:
         """P(bad) of each line."""
-        x = with_neighbours(binned(raw, self.edges), counts)
-        return forward_backward((x @ self.emission.astype(np.float32)).astype(np.float64), counts, self.transition)[0]
+        x = with_neighbours(binned(raw, self.edges), counts, sum(len(e) + 1 for e in self.edges))
+        return forward_backward(emissions(x, self.emission), counts, self.transition)[0]
 
     def block_scores(self, block: Block) -> np.ndarray:
         if not self.edges:
@@ -232,13 +259,19 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) ->
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in text_blocks(batches):
             raw, size, counts = line_features(block)
-            cuts = np.concatenate([[0], np.cumsum(counts)])
-            keep = [k for k in range(len(counts)) if counts[k] <= MAX_LINES]
-            rows = [raw[cuts[k] : cuts[k + 1]].astype("<f4").tobytes() for k in keep]
-            sizes = [size[cuts[k] : cuts[k + 1]].astype("<f4").tobytes() for k in keep]
-            yield pa.record_batch([pa.array(rows, pa.binary()), pa.array(sizes, pa.binary()), block.rows.column(1).take(pa.array(keep, pa.int64()))], names=["raw", "size", "label"])
-
-    rows = labelled_sample(docs, labels, "quality", max_labelled).mapInArrow(run, "raw binary, size binary, label int").collect()
+            cuts = np.cumsum(counts)[:-1]
+            rows = [x.astype("<f4").tobytes() for x in np.split(raw, cuts)]
+            sizes = [x.astype("<f4").tobytes() for x in np.split(size, cuts)]
+            yield pa.record_batch([pa.array(rows, pa.binary()), pa.array(sizes, pa.binary()), block.rows.column(1), pa.array(counts, pa.int64())], names=["raw", "size", "label", "lines"])
+
+    found = stored(labelled_sample(docs, labels, "quality", max_labelled).mapInArrow(run, "raw binary, size binary, label int, lines long"))
+    order = Window.orderBy("key", "raw").rowsBetween(Window.unboundedPreceding, -1)
+    # at most MAX_LABELLED short rows are put in order
+    ahead = found.df.select(F.xxhash64("raw").alias("key"), F.sha2("raw", 256).alias("raw"), "label", "lines").withColumn("before", F.coalesce(F.sum("lines").over(order), F.lit(0)))
+    last = ahead.filter(F.col("before") < MAX_LINES).agg(F.max(F.struct("key", "raw"))).first()[0]
+    chosen = found.df if last is None else found.df.filter((F.xxhash64("raw") < last["key"]) | ((F.xxhash64("raw") == last["key"]) & (F.sha2("raw", 256) <= last["raw"])))
+    rows = chosen.select("raw", "size", "label").collect()
+    found.drop()
     good = np.array([r["label"] for r in rows], dtype=np.int64)
     if len(set(good.tolist())) < 2:
         share = (good.sum() + 1) / (len(good) + 2) if len(good) else 0.5
@@ -253,19 +286,19 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) ->
         positive = raw[:, k][raw[:, k] > 0]
         if len(positive):
             edges[k] = np.unique(np.concatenate([e, [np.nextafter(0, 1), np.median(positive), np.quantile(positive, 0.9)]]))
-    x = with_neighbours(binned(raw, edges), counts)
+    n_bins = sum(len(e) + 1 for e in edges)
+    own = binned(raw, edges)
+    x = with_neighbours(own, counts, n_bins)
+    n_weights = 3 * n_bins + 1
     of_bad = np.repeat(good == 0, counts)
     heads = np.concatenate([[0], np.cumsum(counts)[:-1]])
-    own = x[:, : (x.shape[1] - 1) // 3]
-    w = fit_linear(own, of_bad.astype(np.float64), l2=5.0, steps=8)
-    suspect = own @ w[:-1] + w[-1]
-    suspect = 1 / (1 + np.exp(-np.clip(suspect, -30, 30)))
-    emission, transition = np.zeros(x.shape[1]), np.zeros((2, 2))
+    suspect = fit_lines(own, of_bad.astype(np.float64), n_bins)
+    emission, transition = np.zeros(n_weights), np.zeros((2, 2))
     for _ in range(ROUNDS):
         worst = np.maximum.reduceat(suspect, heads)
         bad = (of_bad & ((suspect >= 0.5) | (suspect >= np.repeat(worst, counts)))).astype(np.int64)
-        emission, transition = fit_field(x, counts, bad)
-        suspect = forward_backward((x @ emission.astype(np.float32)).astype(np.float64), counts, transition)[0]
+        emission, transition = fit_field(x, counts, bad, n_weights)
+        suspect = forward_backward(emissions(x, emission), counts, transition)[0]
     share = good_share(suspect, size, counts)
     a, b = fit_linear((share - 0.5)[:, None], good.astype(np.float64), l2=1e-3)
     return Model(edges, emission, transition, (float(a), float(b)))

@@ -101,6 +101,19 @@ def test_no_labels_and_empty_tables(spark, module, label):
     assert module.scores(frame(spark, []), module.fit(frame(spark, []), none)).collect() == []
 
 
+def test_quality_learns_from_long_documents_and_counts_an_id_once(spark, monkeypatch):
+    """Labelled documents of any length take part; repeated rows of an id do not add to the sample."""
+    rows, good = junk_corpus(120)
+    long = [(i, "\n".join([t] * 80)) for i, t in rows]
+    known = labels(spark, [(i, g) for (i, _), g in zip(rows, good)], "quality")
+    assert quality_crf.labelled_sample(frame(spark, long + long + [(1, None)]), known, "quality", 1000).count() == sum(not held_out(i) for i, _ in rows)
+    for bound in (200_000, 2_000):
+        monkeypatch.setattr(quality_crf, "MAX_LINES", bound)
+        model = quality_crf.fit(frame(spark, long), known)
+        got = {r.doc_id: r.score for r in quality_crf.scores(frame(spark, long), model).collect()}
+        assert auc([got[i] for i, _ in rows], good) > (0.97 if bound > 2_000 else 0.8)
+
+
 def test_forward_backward_equals_enumeration():
     r = np.random.default_rng(3)
     counts = np.array([3, 1, 4])
