@@ -9,6 +9,19 @@ from pyspark.sql import functions as F
 HELD_OUT = "crc32(CAST(CAST(doc_id AS STRING) AS BINARY)) % 5 = 0"
 
 
+def unlabelled_sample(docs: DataFrame, labels: DataFrame, bound: int) -> DataFrame:
+    """(text, label) of about ``bound`` ids at most that have no row in ``labels`` and are not held out; label is null.
+
+    A hash of the id picks them from all documents before anything is joined.
+    """
+    ids = docs.select("doc_id").filter(f"doc_id IS NOT NULL AND NOT ({HELD_OUT})")
+    every = max(1, -(-ids.count() // bound))
+    chosen = F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0
+    own = ids.filter(chosen).distinct().join(labels.select("doc_id").filter(chosen), "doc_id", "left_anti").orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound)
+    found = docs.select("doc_id", "text").join(F.broadcast(own), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"))
+    return found.select("text", F.lit(None).cast("int").alias("label"))
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, bound: int) -> DataFrame:
     """(text, label) of at most ``bound`` labelled ids that are not held out, chosen by a hash of the id; one row for each.
 

@@ -3,13 +3,15 @@
 Method. Voters are lexicon entries (words and word beginnings that are over-represented in toxic documents of a
 bounded labelled sample), fixed patterns (shouting, exclamation marks, symbol runs), and voters that say
 "clean" when a whole lexicon is silent. Each votes or abstains on a document. The label model has a class
-prior and for each voter the probability of a vote under either class (its accuracy); the
-label is one more voter of known accuracy. Expectation-maximisation estimates them; the correlation of two voters
+prior and for each voter the probability of a vote under either class (its accuracy). Where a document has a label, that
+is one more voter, whose accuracy is estimated like the others' (from a weak prior that says which class is which); documents
+without labels take part by their votes alone. Expectation-maximisation estimates them; the correlation of two voters
 given the class is estimated from the same posteriors, and a voter's evidence is divided by the evidence
 that correlated voters repeat. A logistic regression on lexicon and pattern features is fitted to the
-posteriors, not to the labels, and scores every document.
+posteriors of all these documents, not to the labels, and scores every document.
 
-Scale. The sample is at most ``MAX_LABELLED`` documents, the lexicon at most ``MAX_ENTRIES`` entries: the model
+Scale. The fit reads at most ``MAX_LABELLED`` labelled documents and ``MAX_UNLABELLED`` others, which together count at most
+``UNLABELLED_MASS`` of the labelled ones; the lexicon has at most ``MAX_ENTRIES`` entries: the model
 that is sent has a fixed size. Mining is a map with counts combined in each task and one small shuffle. Scoring
 is one narrow map over whole texts.
 
@@ -31,14 +33,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, text_blocks
-from .labelled import HELD_OUT, labelled_sample
+from .common import stored, table, text_blocks
+from .labelled import HELD_OUT, labelled_sample, unlabelled_sample
 
 MAX_LABELLED = 20_000
+MAX_UNLABELLED = 20_000
 MAX_ENTRIES = 400
 LEAST_TOXIC = 3
 PREFIXES = (3, 4, 5)
-LABEL_ACCURACY = 0.97
+#: Documents without labels together count at most this share of those with labels.
+UNLABELLED_MASS = 0.1
+#: The label voter starts at this accuracy, and keeps it as a prior that weighs as much as so many documents.
+LABEL_ACCURACY, LABEL_PRIOR = 0.95, 20.0
 ROUNDS = 15
 _WORDS = re.compile(r"[^\W\d_]+")
 #: Patterns that may or may not speak for toxicity; the label model weighs them.
@@ -67,10 +73,10 @@ def mine_lexicon(sample: DataFrame) -> list[str]:
                 c.clear()
             return pa.record_batch(parts, names=["entry", "clean", "toxic"])
 
-        for block in text_blocks(batches):
+        for block in text_blocks(batches, max_bytes=1 << 19):
             for text, label in zip(block.rows.column(0).to_pylist(), block.rows.column(1).to_pylist()):
                 counts[bool(label)].update(entries_of(text or ""))
-            if len(counts[0]) + len(counts[1]) > 200_000:
+            if len(counts[0]) + len(counts[1]) > 100_000:
                 yield flushed()
         yield flushed()
 
@@ -111,49 +117,60 @@ class LabelModel(NamedTuple):
     prior: float
     rate: np.ndarray  # P(vote | class), 2 by voters
     weight: np.ndarray  # share of each voter's evidence that others do not repeat
+    label_accuracy: np.ndarray  # P(label = class | class)
 
 
-def fit_label_model(votes: np.ndarray, labels: np.ndarray, rounds: int = ROUNDS) -> tuple[LabelModel, np.ndarray]:
-    """Expectation-maximisation; returns the model and the posterior of class 1 for each row.
+def fit_label_model(votes: np.ndarray, labels: np.ndarray, rounds: int = ROUNDS) -> tuple[LabelModel, np.ndarray, np.ndarray]:
+    """Expectation-maximisation; returns the model, and for each row the posterior of class 1 and how much the row counts.
 
-    ``votes`` is 0/1, rows by voters (the way a voter leans shows in its two rates).
+    ``votes`` is 0/1, rows by voters (the way a voter leans shows in its two rates); ``labels`` is 0 or 1, -1 for none.
     """
     votes = votes.astype(np.float32)
     n, m = votes.shape
-    gold = np.where(labels == 1, LABEL_ACCURACY, 1 - LABEL_ACCURACY)
-    said = np.log(gold / (1 - gold))
-    posterior = gold.copy()
+    has = labels >= 0
+    counts = np.where(has, 1.0, min(1.0, UNLABELLED_MASS * has.sum() / max(1, (~has).sum())))
+    accuracy = np.full(2, LABEL_ACCURACY)
+    posterior = np.where(labels == 1, LABEL_ACCURACY, 1 - LABEL_ACCURACY)
     weight = np.ones(m)
     prior, rate = 0.5, np.full((2, m), 0.5)
-    for _ in range(rounds):
-        mass = np.array([(1 - posterior).sum(), posterior.sum()])
-        prior = float((mass[1] + 1) / (n + 2))
-        rate = np.stack([((1 - posterior) @ votes + 0.5) / (mass[0] + 1), (posterior @ votes + 0.5) / (mass[1] + 1)])
+    for k in range(rounds):
+        # before the first round nothing is known of documents without labels
+        use = counts if k else counts * has
+        of = np.stack([use * (1 - posterior), use * posterior])
+        mass = of.sum(axis=1)
+        prior = float((mass[1] + 1) / (mass.sum() + 2))
+        rate = (of @ votes + 0.5) / (mass[:, None] + 1)
+        if k:
+            agreed = np.array([(of[c] * (labels == c)).sum() for c in (0, 1)])
+            accuracy = (agreed + LABEL_PRIOR * LABEL_ACCURACY) / ((of * has).sum(axis=1) + LABEL_PRIOR)
         # correlation of voters given the class, from residuals around the class rates
         together = np.zeros((m, m))
         spread = np.zeros(m)
-        for c, p in enumerate((1 - posterior, posterior)):
+        for c in (0, 1):
             left = votes - rate[c].astype(np.float32)
-            together += left.T @ (left * p[:, None].astype(np.float32))
-            spread += (left**2 * p[:, None]).sum(axis=0)
+            together += left.T @ (left * of[c][:, None].astype(np.float32))
+            spread += (left**2 * of[c][:, None]).sum(axis=0)
         correlation = together / np.sqrt(np.outer(spread, spread) + 1e-9)
         np.fill_diagonal(correlation, 1.0)
         weight = 1 / np.maximum(correlation, 0).sum(axis=1)
         on, off = np.log(rate[1] / rate[0]), np.log((1 - rate[1]) / (1 - rate[0]))
+        said = np.where(labels == 1, np.log(accuracy[1] / (1 - accuracy[0])), np.where(labels == 0, np.log((1 - accuracy[1]) / accuracy[0]), 0.0))
         evidence = votes @ (weight * (on - off)) + (weight * off).sum()
         posterior = 1 / (1 + np.exp(-np.clip(np.log(prior / (1 - prior)) + evidence + said, -30, 30)))
-    return LabelModel(prior, rate, weight), posterior
+    return LabelModel(prior, rate, weight, accuracy), posterior, counts
 
 
-def fit_linear(features: np.ndarray, targets: np.ndarray, l2: float = 1.0, steps: int = 40) -> np.ndarray:
+def fit_linear(features: np.ndarray, targets: np.ndarray, counts: np.ndarray | None = None, l2: float = 1.0, steps: int = 40) -> np.ndarray:
     """Logistic regression on soft targets by Newton steps; the last weight is the intercept."""
-    x = np.column_stack([features, np.ones(len(features))]).astype(np.float64)
+    x = np.column_stack([features, np.ones(len(features), dtype=features.dtype)])
+    counts = np.ones(len(x)) if counts is None else counts
     w = np.zeros(x.shape[1])
     penalty = np.full(x.shape[1], l2)
     penalty[-1] = 1e-3
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p) + 1e-6)[:, None]).T @ x + np.diag(penalty), x.T @ (targets - p) - penalty * w)
+        curve = (counts * (p * (1 - p) + 1e-6)).astype(x.dtype)
+        step = np.linalg.solve(((x * curve[:, None]).T @ x).astype(np.float64) + np.diag(penalty), x.T @ (counts * (targets - p)) - penalty * w)
         w += step
         if np.abs(step).max() < 1e-6:
             break
@@ -170,8 +187,9 @@ class Model(NamedTuple):
         return float(1 / (1 + np.exp(-min(max(z, -30.0), 30.0))))
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> Model:
-    sample = labelled_sample(docs, labels, "toxic", max_labelled)
+def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, max_unlabelled: int = MAX_UNLABELLED) -> Model:
+    kept = stored(labelled_sample(docs, labels, "toxic", max_labelled))
+    sample = kept.df
     lexicon = Lexicon({e: k for k, e in enumerate(mine_lexicon(sample))})
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -179,13 +197,14 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) ->
             hits = [lexicon.hits(t or "") for t in block.rows.column(0).to_pylist()]
             yield pa.record_batch([pa.array(hits, pa.list_(pa.int32())), block.rows.column(1)], names=["hits", "label"])
 
-    rows = sample.mapInArrow(run, "hits array<int>, label int").collect()
-    y = np.array([r["label"] for r in rows], dtype=np.int64)
-    if not lexicon.places or len(set(y.tolist())) < 2:
+    if not lexicon.places:
+        y = np.array([r["label"] for r in sample.select("label").collect()], dtype=np.int64)
         share = (y.sum() + 1) / (len(y) + 2) if len(y) else 0.5
         weights = np.zeros(lexicon.size + 1)
         weights[-1] = np.log(share / (1 - share))
         return Model(lexicon, weights, None)
+    rows = sample.unionByName(unlabelled_sample(docs, labels, max_unlabelled)).mapInArrow(run, "hits array<int>, label int").collect()
+    y = np.array([-1 if r["label"] is None else r["label"] for r in rows], dtype=np.int64)
     x = np.zeros((len(rows), lexicon.size), dtype=np.float32)
     for k, r in enumerate(rows):
         x[k, r["hits"]] = 1
@@ -193,8 +212,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) ->
     starts = [k for e, k in lexicon.places.items() if e[-1] == "*"]
     silent = [1 - x[:, part].max(axis=1) for part in (words, starts, words + starts) if part]
     votes = np.column_stack([x, *silent])
-    label_model, posterior = fit_label_model(votes, y)
-    return Model(lexicon, fit_linear(x, posterior), label_model)
+    label_model, posterior, counts = fit_label_model(votes, y)
+    return Model(lexicon, fit_linear(x, posterior, counts), label_model)
 
 
 def scores(docs: DataFrame, model: Model) -> DataFrame:

@@ -59,13 +59,26 @@ def test_label_model_finds_accuracies_and_correlation():
     good = np.where(r.random(4000) < 0.9, y, 1 - y)
     copy = good.copy()
     noise = (r.random(4000) < 0.5).astype(int)
-    model, posterior = toxicity.fit_label_model(np.column_stack([good, copy, noise]), y)
+    model, posterior, _ = toxicity.fit_label_model(np.column_stack([good, copy, noise]), y)
     assert abs(model.rate[1, 0] - 0.9) < 0.1 and abs(model.rate[0, 0] - 0.1) < 0.1
     assert abs(model.rate[1, 2] - model.rate[0, 2]) < 0.1
     assert model.weight[0] < 0.6 < model.weight[2]
     assert auc(posterior[:500], y[:500]) > 0.99
 
 
+def test_label_model_without_most_labels_and_with_wrong_ones():
+    """Voters' and labels' own accuracies come out although few rows have a label and a fifth of those are wrong."""
+    r = np.random.default_rng(4)
+    y = (r.random(6000) < 0.4).astype(int)
+    votes = np.column_stack([np.where(r.random(6000) < a, y, 1 - y) for a in (0.95, 0.9, 0.85, 0.8)])
+    labels = np.where(r.random(6000) < 0.8, y, 1 - y)
+    labels[r.random(6000) < 0.7] = -1
+    model, posterior, counts = toxicity.fit_label_model(votes, labels, 30)
+    assert np.abs(model.rate[1] - [0.95, 0.9, 0.85, 0.8]).max() < 0.05
+    assert np.abs(model.label_accuracy - 0.8).max() < 0.06
+    assert ((posterior > 0.5) == y)[labels < 0].mean() > 0.93 and counts[labels < 0].sum() <= (labels >= 0).sum() + 1e-6
+
+
 def junk_corpus(n=300):
     r = random.Random(6)
     words = [f"w{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(300)]
