@@ -165,6 +165,14 @@ def _summed(rows: DataFrame, keys: list[str], *values: str) -> DataFrame:
     return rows.groupBy(*keys).agg(*[F.sum(v).alias(v) for v in values])
 
 
+def _dense(rows: DataFrame, key: str, length: int) -> np.ndarray:
+    """The sums of column n by a whole-number key below ``length``, as an array; batch by batch, no row objects."""
+    out = np.zeros(length)
+    for batch in _summed(rows, [key], "n").toArrow().to_batches():
+        out[batch.column(0).to_numpy()] = batch.column(1).to_numpy()
+    return out
+
+
 def _passing(corpus: Stored) -> DataFrame:
     """The training rows' places, several files to a task."""
     own = corpus.df.filter("training").select("places")
@@ -185,10 +193,7 @@ def seed_bigrams(corpus: Stored, seeds: int, end: int) -> np.ndarray:
         pairs = np.flatnonzero(total)
         yield pa.record_batch([pa.array(pairs, pa.int64()), pa.array(total[pairs], pa.int64())], names=["pair", "n"])
 
-    found = _summed(_passing(corpus).mapInArrow(run, "pair long, n long"), ["pair"], "n").toPandas()
-    total = np.zeros(size * size)
-    total[found["pair"].to_numpy(dtype=np.int64)] = found["n"].to_numpy(dtype=np.float64)
-    return total.reshape(size, size)
+    return _dense(_passing(corpus).mapInArrow(run, "pair long, n long"), "pair", size * size).reshape(size, size)
 
 
 def _xlogx(x: np.ndarray) -> np.ndarray:
@@ -284,17 +289,13 @@ def unit_contexts(corpus: Stored, of: np.ndarray, end: int, classes: int) -> tup
             at = (before >= 0) & (own >= 0)
             right += np.bincount(before[at] * classes + own[at], minlength=len(right))
             loops += np.bincount(unit[(unit == before) & (unit >= 0)], minlength=size)
-        for kind, total in enumerate((left, right, loops)):
+        for first, total in ((0, left), (len(left), right), (2 * len(left), loops)):
             found = np.flatnonzero(total)
-            yield pa.record_batch([pa.array(np.full(len(found), kind), pa.int64()), pa.array(found, pa.int64()), pa.array(total[found], pa.int64())], names=["kind", "place", "n"])
+            yield pa.record_batch([pa.array(found + first, pa.int32()), pa.array(total[found], pa.int64())], names=["place", "n"])
 
-    found = _summed(_passing(corpus).mapInArrow(run, "kind long, place long, n long"), ["kind", "place"], "n").toPandas()
-    out = []
-    for kind, length in enumerate((size * classes, size * classes, size)):
-        total, own = np.zeros(length), found[found["kind"] == kind]
-        total[own["place"].to_numpy(dtype=np.int64)] = own["n"].to_numpy(dtype=np.float64)
-        out.append(total)
-    return out[0].reshape(size, classes), out[1].reshape(size, classes), out[2]
+    total = _dense(_passing(corpus).mapInArrow(run, "place int, n long"), "place", size * (2 * classes + 1))
+    left, right = total[: 2 * size * classes].reshape(2, size, classes)
+    return left, right, total[2 * size * classes :]
 
 
 def class_pairs(of: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -541,10 +542,7 @@ def transitions(rows: DataFrame, classes: int) -> np.ndarray:
         found = np.flatnonzero(total)
         yield pa.record_batch([pa.array(found, pa.int64()), pa.array(total[found], pa.int64())], names=["pair", "n"])
 
-    found = _summed(rows.filter("training").select("classes").mapInArrow(run, "pair long, n long"), ["pair"], "n").toPandas()
-    pairs = np.zeros(classes * classes)
-    pairs[found["pair"].to_numpy(dtype=np.int64)] = found["n"].to_numpy(dtype=np.float64)
-    pairs = pairs.reshape(classes, classes)
+    pairs = _dense(rows.filter("training").select("classes").mapInArrow(run, "pair long, n long"), "pair", classes * classes).reshape(classes, classes)
     single = (pairs.sum(axis=0) + 1) / (pairs.sum() + classes)
     before = pairs.sum(axis=1, keepdims=True)
     return np.log10(np.where(before > 0, LAMBDA * pairs / np.maximum(before, 1) + (1 - LAMBDA) * single, single))
