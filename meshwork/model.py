@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 from dataclasses import dataclass
+from numbers import Integral
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,6 +25,8 @@ class Graph:
     n_nodes: int
     directed: bool = False
     weighted: bool = False
+    nodes: DataFrame | None = None  # of a view: its nodes (column node), whose ids are those of the whole graph
+    id_bound: int | None = None  # of a view: the whole graph's n_nodes
 
     @classmethod
     def of(cls, edges: DataFrame, n_nodes: int | None = None, directed: bool = False, weighted: bool = False) -> Graph:
@@ -43,6 +46,10 @@ class Graph:
         rows = list(rows)
         if any(len(r) not in (2, 3) for r in rows) or weighted and any(len(r) != 3 for r in rows):
             raise ValidationError("edges are (src, dst), or (src, dst, weight) in a weighted graph")
+        for r in rows:
+            for end in r[:2]:
+                if isinstance(end, bool) or not isinstance(end, Integral) or end < 0 or n_nodes is not None and end >= n_nodes:
+                    raise ValidationError(f"{end!r} is no node id: ids are whole numbers from 0, below n_nodes")
         full = [(int(r[0]), int(r[1]), float(r[2]) if len(r) == 3 else 1.0, k) for k, r in enumerate(rows)]
         return cls.of(spark.createDataFrame(full, EDGE_SCHEMA), n_nodes, directed, weighted)
 
@@ -52,7 +59,13 @@ class Graph:
 
     @property
     def vertices(self) -> DataFrame:
-        return self.spark.range(self.n_nodes).withColumnRenamed("id", "node")
+        """(node): all nodes, those without edges too."""
+        return self.spark.range(self.n_nodes).withColumnRenamed("id", "node") if self.nodes is None else self.nodes
+
+    @property
+    def n_ids(self) -> int:
+        """All ids are below this: n_nodes, but for a view."""
+        return self.n_nodes if self.id_bound is None else self.id_bound
 
     def n_edges(self) -> int:
         return self.edges.count()
@@ -72,10 +85,10 @@ class Graph:
         return own.select(F.col("a").alias("node"), F.col("b").alias("other")).union(own.select("b", "a"))
 
     def view(self, mask: DataFrame) -> Graph:
-        """The subgraph induced by the nodes in ``mask`` (column node); ids stay, nothing is computed yet."""
-        own = mask.select("node").distinct()
+        """The subgraph induced by the nodes in ``mask`` (column node). Ids stay; n_nodes is the number of nodes in the mask (one count)."""
+        own = mask.select(F.col("node").cast("long").alias("node")).join(self.vertices, "node", "left_semi").distinct()
         kept = self.edges.join(own.withColumnRenamed("node", "src"), "src", "left_semi").join(own.withColumnRenamed("node", "dst"), "dst", "left_semi")
-        return Graph(kept.select("src", "dst", "weight", "eid"), self.n_nodes, self.directed, self.weighted)
+        return Graph(kept.select("src", "dst", "weight", "eid"), own.count(), self.directed, self.weighted, own, self.n_ids)
 
     def to_pandas_edges(self, max_rows: int = 200_000):
         """The edges on the driver, for other libraries; refuses to collect more than ``max_rows``."""

@@ -19,11 +19,13 @@ def roots(graph: Graph) -> DataFrame:
     def step(labels: DataFrame) -> DataFrame:
         near = arcs.join(labels.select(F.col("node").alias("other"), "root"), "other").groupBy("node").agg(F.min("root").alias("near"))
         hooked = labels.join(near, "node", "left").select("node", F.least("root", F.coalesce("near", "root")).alias("root"))
+        # read back: with two plain shuffles, the nodes that share a root are a skewed partition that can be split
+        hooked = materialised(hooked)
         jump = hooked.select(F.col("node").alias("root"), F.col("root").alias("further"))
         return hooked.join(jump, "root").select("node", F.col("further").alias("root"))
 
     total = lambda df: df.agg(F.sum("root")).first()[0]  # noqa: E731  labels only fall
-    _, labels, _ = iterate(graph.vertices.withColumn("root", F.col("node")), step, lambda a, b: total(a) == total(b), max(1, graph.n_nodes))
+    _, labels, _ = iterate(graph.vertices.withColumn("root", F.col("node")), step, lambda a, b: total(a) == total(b))
     return labels
 
 
@@ -32,7 +34,7 @@ def components(graph: Graph) -> DataFrame:
     labels = roots(graph)
     # ranks over the distinct roots: by ranges, so that no window sees them all
     heads = labels.filter("node = root").select("root")
-    size = max(1, graph.n_nodes // 64)
+    size = max(1, graph.n_ids // 64)
     block = F.floor(F.col("root") / size)
     before = heads.groupBy(block.alias("block")).agg(F.count("*").alias("n"))
     before = before.select("block", F.coalesce(F.sum("n").over(Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from numbers import Integral
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,28 +24,33 @@ def _ends(graph: Graph, mode: str, loop_once: bool = True) -> DataFrame:
     return out.union(into.select("node", "weight"))
 
 
-def degree(graph: Graph, mode: str = "out") -> DataFrame:
+def only(graph: Graph, values: DataFrame, node: int | None) -> DataFrame:
+    """``values`` (node, ...), of one node where it is given: the filter reaches the scans below."""
+    return values if node is None else values.filter(F.col("node") == check_node(graph, node))
+
+
+def degree(graph: Graph, mode: str = "out", node: int | None = None) -> DataFrame:
     """(node, degree). Directed: out, in, or their sum for any other mode. Undirected: a self-loop counts once."""
-    return graph.dense(_ends(graph, mode).groupBy("node").agg(F.count("*").alias("degree")), "degree", 0)
+    return only(graph, graph.dense(_ends(graph, mode).groupBy("node").agg(F.count("*").alias("degree")), "degree", 0), node)
 
 
-def in_degree(graph: Graph) -> DataFrame:
+def in_degree(graph: Graph, node: int | None = None) -> DataFrame:
     if not graph.directed:
         raise GraphError("in-degree needs a directed graph")
-    return degree(graph, "in")
+    return degree(graph, "in", node)
 
 
-def out_degree(graph: Graph) -> DataFrame:
+def out_degree(graph: Graph, node: int | None = None) -> DataFrame:
     if not graph.directed:
         raise GraphError("out-degree needs a directed graph")
-    return degree(graph, "out")
+    return degree(graph, "out", node)
 
 
-def strength(graph: Graph, mode: str = "out", loop_once: bool = False) -> DataFrame:
+def strength(graph: Graph, mode: str = "out", loop_once: bool = False, node: int | None = None) -> DataFrame:
     """(node, strength). Unweighted graphs give degrees; an undirected self-loop counts its weight twice unless ``loop_once``."""
     if not graph.weighted:
-        return degree(graph, mode).select("node", F.col("degree").cast("double").alias("strength"))
-    return graph.dense(_ends(graph, mode, loop_once).groupBy("node").agg(F.sum("weight").alias("strength")), "strength", 0.0)
+        return degree(graph, mode, node).select("node", F.col("degree").cast("double").alias("strength"))
+    return only(graph, graph.dense(_ends(graph, mode, loop_once).groupBy("node").agg(F.sum("weight").alias("strength")), "strength", 0.0), node)
 
 
 def centrality(graph: Graph, method: str = "degree", **options) -> DataFrame:
@@ -100,7 +107,7 @@ def validation_report(graph: Graph) -> DataFrame:
         F.count("*").alias("n_edges"),
         F.count_if(F.col("src").isNull() | F.col("dst").isNull()).alias("null_ends"),
         F.count_if((F.col("src") < 0) | (F.col("dst") < 0)).alias("negative_ids"),
-        F.count_if(F.greatest("src", "dst") >= graph.n_nodes).alias("ids_past_n"),
+        F.count_if(F.greatest("src", "dst") >= graph.n_ids).alias("ids_past_n"),
         F.count_if(F.col("weight").isNull()).alias("null_weights"),
         F.count_if(infinite).alias("non_finite_weights"),
     )
@@ -109,15 +116,15 @@ def validation_report(graph: Graph) -> DataFrame:
 def validate(graph: Graph) -> Graph:
     """The graph, or a ValidationError that names what is wrong."""
     if graph.n_nodes < 0:
-        raise ValidationError("n_nodes must be non-negative")
+        raise ValidationError("n_nodes is below 0")
     found = validation_report(graph).first()
-    for column, said in (("null_ends", "src and dst must have the same length (null ends)"), ("negative_ids", "node ids must be non-negative"), ("ids_past_n", "node ids must be below n_nodes"), ("null_weights", "weights must have the same length as edges (null weights)"), ("non_finite_weights", "weights must be finite")):
+    for column, said in (("null_ends", "src or dst is null"), ("negative_ids", "an id is below 0"), ("ids_past_n", "an id is not below n_nodes"), ("null_weights", "a weight is null"), ("non_finite_weights", "a weight is not finite")):
         if found[column]:
-            raise ValidationError(f"{said}: {found[column]} rows")
+            raise ValidationError(f"{said} in {found[column]} rows")
     return graph
 
 
 def check_node(graph: Graph, node: int) -> int:
-    if not 0 <= node < graph.n_nodes:
-        raise ValidationError(f"node {node} is out of range [0, {graph.n_nodes})")
+    if isinstance(node, bool) or not isinstance(node, Integral) or not 0 <= node < graph.n_ids:
+        raise ValidationError(f"{node!r} is no node: ids are whole numbers from 0 to {graph.n_ids - 1}")
     return node

@@ -17,8 +17,10 @@ def pagerank(graph: Graph, alpha: float = 0.85, tol: float | None = 1e-6, max_it
     may be "redistribute" to spread the lost mass evenly.
     """
     n = max(1, graph.n_nodes)
-    out = graph.edges.groupBy("src").agg(F.count("*").alias("out"))
-    arcs = graph.edges.groupBy("src", "dst").agg(F.count("*").alias("m")).join(out, "src")
+    # the edges' own plan runs once: out-degrees add up the counted arcs
+    counted = materialised(graph.edges.groupBy("src", "dst").agg(F.count("*").alias("m")))
+    out = counted.groupBy("src").agg(F.sum("m").alias("out"))
+    arcs = counted.join(out, "src")
     arcs = materialised(arcs.select("src", "dst", (F.col("m") / F.col("out")).alias("share")))
     ranks = graph.vertices.withColumn("pagerank", F.lit(1.0 / n))
     for k in range(1, max_iter + 1):

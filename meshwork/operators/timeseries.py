@@ -2,29 +2,43 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
 def hvg_edges(series: DataFrame) -> DataFrame:
-    """(id, i, j), i < j: every value between is below both ends. A stack passes over each series once."""
+    """(id, i, j), i < j: every value between is below both ends.
+
+    Rows are dealt by series and sorted by Spark; a task passes over all its series with one stack, which it empties
+    between two of them, so many short series cost no more than one long one.
+    """
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("t")
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         stack: list[tuple[int, float]] = []
-        edges = []
-        for t, x in zip(pdf["t"].tolist(), pdf["value"].tolist()):
-            while stack and stack[-1][1] < x:
-                edges.append((stack.pop()[0], t))
-            if stack:
-                edges.append((stack[-1][0], t))
-                if stack[-1][1] == x:
-                    stack.pop()
-            stack.append((t, x))
-        return pd.DataFrame({"id": pdf["id"].iloc[0], "i": [e[0] for e in edges], "j": [e[1] for e in edges]}).astype({"i": "int64", "j": "int64"})
-
-    return series.select("id", "t", "value").groupBy("id").applyInPandas(run, "id long, i long, j long")
+        last = None
+        for batch in batches:
+            ids, low, high = [], [], []
+            for s, t, x in zip(*(c.to_pylist() for c in batch.columns)):
+                if s != last:
+                    stack, last = [], s
+                while stack and stack[-1][1] < x:
+                    ids.append(s)
+                    low.append(stack.pop()[0])
+                    high.append(t)
+                if stack:
+                    ids.append(s)
+                    low.append(stack[-1][0])
+                    high.append(t)
+                    if stack[-1][1] == x:
+                        stack.pop()
+                stack.append((t, x))
+            yield pa.record_batch([pa.array(v, pa.int64()) for v in (ids, low, high)], names=["id", "i", "j"])
+
+    own = series.select(F.col("id").cast("long").alias("id"), F.col("t").cast("long").alias("t"), F.col("value").cast("double").alias("value"))
+    return own.repartition("id").sortWithinPartitions("id", "t").mapInArrow(run, "id long, i long, j long")
 
 
 def nvg_edges(series: DataFrame, limit: int) -> DataFrame:

@@ -9,15 +9,24 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable
+from itertools import count
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
 
+from meshwork.errors import ConfigurationError
+
+_PATHS: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
+
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; a temporary folder only where none is configured."""
+    """spark.checkpoint.dir; a temporary folder only where none is configured and all runs on one machine."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="meshwork-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not (sc.master == "local" or sc.master.startswith("local[")):
+            raise ConfigurationError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="meshwork-"))
     return sc.getCheckpointDir()
 
 
@@ -26,13 +35,24 @@ def materialised(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    read = spark.read.schema(df.schema).parquet(path)
+    _PATHS[read] = path
+    return read
+
+
+def discard(df: DataFrame) -> None:
+    """Delete a table of :func:`materialised` that no plan reads any more."""
+    if name := _PATHS.pop(df, None):
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def iterate(state: DataFrame, step: Callable[[DataFrame], DataFrame], done: Callable[[DataFrame, DataFrame], bool], max_iter: int) -> tuple[DataFrame, DataFrame, bool]:
-    """Apply ``step`` until ``done(before, after)``; returns the last two states and whether it was done."""
+def iterate(state: DataFrame, step: Callable[[DataFrame], DataFrame], done: Callable[[DataFrame, DataFrame], bool], max_iter: int | None = None) -> tuple[DataFrame, DataFrame, bool]:
+    """Apply ``step`` until ``done(before, after)``, ``max_iter`` times at most where it is given; returns the last two states and whether it was done."""
     before = after = materialised(state)
-    for _ in range(max_iter):
+    for _ in count() if max_iter is None else range(max_iter):
+        if before is not after:
+            discard(before)
         before, after = after, materialised(step(after))
         if done(before, after):
             return before, after, True

@@ -19,9 +19,8 @@ ORACLES: dict[str, str] = {}
 
 #: Rounds of the fixed-point oracles: more than the graphs need.
 ROUNDS = 40
-QUANTITY = 48
 
-CO = f"""i AS (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem WHERE l_quantity >= {QUANTITY}),
+CO = """i AS (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem),
 g AS (SELECT DISTINCT x.l_partkey AS src, y.l_partkey AS dst FROM i x JOIN i y ON x.l_orderkey = y.l_orderkey AND x.l_partkey < y.l_partkey),
 v AS (SELECT range AS node FROM range((SELECT max(p_partkey) + 1 FROM part))),
 s AS (SELECT src, dst FROM g UNION ALL SELECT dst, src FROM g)"""
@@ -86,7 +85,12 @@ def _(spark, d):
     return rounded(degree.strength(on.trade(spark, d)), "strength", digits=1)
 
 
-@query("adjacency_coo", f'WITH {TRADE} SELECT src AS "row", dst AS col, round(sum(w), 1) AS value FROM g GROUP BY src, dst')
+@query("adjacency_coo", f'WITH {TRADE} SELECT src AS "row", dst AS col, round(w, 2) AS value FROM g')
+def _(spark, d):
+    return rounded(degree.adjacency(on.trade(spark, d), "coo"), "value", digits=2)
+
+
+@query("adjacency_csr", f'WITH {TRADE} SELECT src AS "row", dst AS col, round(sum(w), 1) AS value FROM g GROUP BY src, dst')
 def _(spark, d):
     return rounded(degree.adjacency(on.trade(spark, d), "csr"), "value", digits=1)
 
@@ -96,10 +100,23 @@ def _(spark, d):
     return degree.adjacency(on.copurchase(spark, d), "dense")
 
 
-@query("subgraph_edges", f"WITH {CO} SELECT src, dst FROM g WHERE src % 3 = 0 AND dst % 3 = 0")
+def _small_parts(spark, d):
+    """The co-purchases among the parts of at most the middle size."""
+    parts = on.table(spark, d, "part").filter("p_size <= 25").select(F.col("p_partkey").alias("node"))
+    return on.copurchase(spark, d).view(parts)
+
+
+_SMALL = f"{CO}, p AS (SELECT DISTINCT p_partkey AS node FROM part WHERE p_size <= 25), h AS (SELECT src, dst FROM g WHERE src IN (SELECT node FROM p) AND dst IN (SELECT node FROM p))"
+
+
+@query("subgraph_edges", f"WITH {_SMALL} SELECT src, dst FROM h")
 def _(spark, d):
-    graph = on.copurchase(spark, d)
-    return graph.view(graph.vertices.filter("node % 3 = 0")).edges.select("src", "dst")
+    return _small_parts(spark, d).edges.select("src", "dst")
+
+
+@query("subgraph_summary", f"WITH {_SMALL}, n AS (SELECT count(*) AS n FROM p), m AS (SELECT count(*) AS m FROM h) SELECT n AS n_nodes, m AS n_edges, round(2.0 * m / n, 9) AS avg_degree, round(2.0 * m / (CAST(n AS DOUBLE) * (n - 1)), 12) AS density FROM n, m")
+def _(spark, d):
+    return degree.summary(_small_parts(spark, d)).withColumns({"avg_degree": F.round("avg_degree", 9), "density": F.round("density", 12)})
 
 
 @query("graph_summary", f"WITH {CO}, n AS (SELECT count(*) AS n FROM v), m AS (SELECT count(*) AS m FROM g) SELECT n AS n_nodes, m AS n_edges, round(2.0 * m / n, 9) AS avg_degree, round(2.0 * m / (CAST(n AS DOUBLE) * (n - 1)), 12) AS density FROM n, m")
@@ -159,9 +176,17 @@ def _(spark, d):
     return rounded(pagerank.pagerank(on.trade(spark, d), tol=None, max_iter=20), "pagerank")
 
 
-@query("pagerank_tolerance")
+@query(
+    "pagerank_tolerance",
+    f"""WITH RECURSIVE {CO}, k AS (SELECT count(*) AS n FROM v), o AS (SELECT src, count(*) AS o FROM g GROUP BY src),
+a AS (SELECT g.src, g.dst, 1.0::DOUBLE / o.o AS share FROM g JOIN o ON g.src = o.src UNION ALL SELECT node, node, 0.0 FROM v),
+r(i, node, p) AS (SELECT 0, node, 1.0::DOUBLE / n FROM v, k UNION ALL
+SELECT any_value(r.i) + 1, a.dst, 0.15::DOUBLE / any_value(k.n) + 0.85::DOUBLE * sum(a.share * r.p) FROM r JOIN a ON a.src = r.node, k WHERE r.i < 60 GROUP BY a.dst),
+c AS (SELECT y.i, sqrt(sum((y.p - x.p) * (y.p - x.p))) AS change FROM r x JOIN r y ON x.node = y.node AND y.i = x.i + 1 GROUP BY y.i)
+SELECT node, round(p, 9) AS pagerank FROM r WHERE i = (SELECT min(i) - 1 FROM c WHERE change < 1e-6)""",
+)
 def _(spark, d):
-    return pagerank.pagerank(on.copurchase(spark, d))
+    return rounded(pagerank.pagerank(on.copurchase(spark, d)), "pagerank")
 
 
 _SOURCE = "f AS (SELECT min(src) AS node FROM g)"
@@ -184,15 +209,19 @@ def _(spark, d):
     return paths.reachability(graph, _first(graph))
 
 
-@query(
-    "mean_shortest_path",
-    f"""WITH RECURSIVE {CO}, b(root, node, dist) AS (SELECT DISTINCT src, src, 0::BIGINT FROM s UNION SELECT b.root, s.dst, b.dist + 1 FROM b JOIN s ON s.src = b.node WHERE b.dist < 25),
-m AS (SELECT root, node, min(dist) AS dist FROM b WHERE root < node GROUP BY ALL) SELECT round(avg(dist), 9) AS mean_shortest_path FROM m""",
-)
+_PAIRS = f"WITH RECURSIVE {CO}, b(root, node, dist) USING KEY (root, node) AS (SELECT node, node, 0::BIGINT FROM v UNION SELECT b.root, s.dst, min(b.dist) + 1 FROM b JOIN s ON s.src = b.node LEFT JOIN recurring.b AS o ON o.root = b.root AND o.node = s.dst WHERE o.node IS NULL GROUP BY b.root, s.dst)"
+
+
+@query("mean_shortest_path", f"{_PAIRS} SELECT round(avg(dist), 9) AS mean_shortest_path FROM b WHERE root < node")
 def _(spark, d):
     return rounded(paths.mean_shortest_path(on.copurchase(spark, d)), "mean_shortest_path")
 
 
+@query("closeness", f"{_PAIRS}, c AS (SELECT node, count(*) AS r, sum(dist) AS d FROM b WHERE root <> node GROUP BY node) SELECT v.node, round(coalesce(1.0 * r / d * r / ((SELECT count(*) FROM v) - 1), 0), 9) AS centrality FROM v LEFT JOIN c ON v.node = c.node")
+def _(spark, d):
+    return rounded(paths.closeness(on.copurchase(spark, d)), "centrality")
+
+
 _ROOTS = f"WITH RECURSIVE {CO}, b(node, root) AS (SELECT node, node FROM v UNION SELECT s.dst, b.root FROM b JOIN s ON s.src = b.node WHERE b.root < s.dst), m AS (SELECT node, min(root) AS root FROM b GROUP BY node)"
 
 

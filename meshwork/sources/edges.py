@@ -20,7 +20,7 @@ def read_edges(spark: SparkSession, source: Any, src_col: str | None = None, dst
     if isinstance(source, str):
         suffix = source.rstrip("/").rpartition(".")[2].lower()
         if suffix not in ("parquet", "csv", "json", "orc"):
-            raise ValidationError(f"Unsupported file format: {source}")
+            raise ValidationError(f"no reader for {source}: Parquet, CSV, JSON and ORC are known by their suffix")
         df = spark.read.option("header", True).format(suffix).load(source)
     elif isinstance(source, DataFrame):
         df = source
@@ -34,13 +34,14 @@ def read_edges(spark: SparkSession, source: Any, src_col: str | None = None, dst
     elif hasattr(source, "to_arrow"):
         df = spark.createDataFrame(source.to_arrow())
     else:
-        raise ValidationError(f"Unsupported source type: {type(source).__name__}")
+        raise ValidationError(f"no edges can be read from a {type(source).__name__}")
     if not src_col or not dst_col:
         raise ValidationError("src_col and dst_col are needed for this source")
     picked = [F.col(src_col).cast("long").alias("src"), F.col(dst_col).cast("long").alias("dst")]
     if weight_col:
         picked.append(F.col(weight_col).cast("double").alias("weight"))
-    return Graph.of(df.select(*picked), n_nodes, directed, bool(weight_col))
+    # where the last of parallel edges wins, order is that of the rows of the source's partitions
+    return Graph.of(df.select(*picked, F.monotonically_increasing_id().alias("eid")), n_nodes, directed, bool(weight_col))
 
 
 def write_vector(df: DataFrame, path: str, fmt: str = "parquet") -> None:

@@ -16,9 +16,9 @@ def n_parts(spark: SparkSession, sf_dir: str) -> int:
     return table(spark, sf_dir, "part").agg(F.max("p_partkey")).first()[0] + 1
 
 
-def copurchase(spark: SparkSession, sf_dir: str, least: float = 48) -> Graph:
-    """Undirected and simple: two parts on one order, both in at least this quantity."""
-    items = table(spark, sf_dir, "lineitem").filter(F.col("l_quantity") >= least).select("l_orderkey", "l_partkey").distinct()
+def copurchase(spark: SparkSession, sf_dir: str) -> Graph:
+    """Undirected and simple: two parts on one order."""
+    items = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey").distinct()
     pairs = items.alias("x").join(items.alias("y"), "l_orderkey").filter("x.l_partkey < y.l_partkey")
     edges = pairs.select(F.col("x.l_partkey").alias("src"), F.col("y.l_partkey").alias("dst")).distinct()
     return Graph.of(edges, n_parts(spark, sf_dir))

@@ -4,10 +4,12 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from meshwork.errors import GraphError, ValidationError
+from meshwork.errors import BackendError, GraphError, ValidationError
 from meshwork.model import Graph
 from meshwork.operators import community, components, degree, pagerank, paths, triangles
 
+from meshwork.sources.edges import read_edges
+
 INF = paths.UNREACHABLE
 #: name: (edges, n, directed, degree, triangles, clustering, labels, distances from 0, mean path, core, assortativity)
 CASES = {
@@ -86,7 +88,7 @@ def test_modularity_and_communities(spark):
 
 @pytest.mark.parametrize(
     "rows,n,said",
-    [([(0, -1, 1.0)], 3, "non-negative"), ([(0, 5, 1.0)], 3, "n_nodes"), ([(0, 1, None)], 3, "same length"), ([(0, 1, math.inf)], 3, "finite"), ([(0, 1, math.nan)], 3, "finite"), ([(None, 1, 1.0)], 3, "same length")],
+    [([(0, -1, 1.0)], 3, "below 0"), ([(0, 5, 1.0)], 3, "n_nodes"), ([(0, 1, None)], 3, "weight is null"), ([(0, 1, math.inf)], 3, "finite"), ([(0, 1, math.nan)], 3, "finite"), ([(None, 1, 1.0)], 3, "dst is null")],
 )
 def test_validation(spark, rows, n, said):
     g = Graph.of(spark.createDataFrame(rows, "src long, dst long, weight double"), n, weighted=True)
@@ -156,3 +158,83 @@ def test_louvain_goes_on_until_nothing_gains(spark):
     found = community.louvain(graph)
     assert found.count() == 40
     assert community.modularity(graph, found).first()[0] > 0.6
+
+
+def distances(edges, n, directed):
+    near = {k: set() for k in range(n)}
+    for a, b in edges:
+        near[a].add(b)
+        if not directed:
+            near[b].add(a)
+    out = []
+    for s in range(n):
+        far, front = {s: 0}, [s]
+        while front:
+            front = [y for x in front for y in sorted(near[x]) if y not in far and far.setdefault(y, far[x] + 1)]
+        out.append(far)
+    return out
+
+
+def test_all_pairs_by_bits_equal_breadth_first_searches(spark):
+    r = np.random.default_rng(3)
+    n = 150
+    edges = [(int(a), int(b)) for a, b in r.integers(0, n - 5, (230, 2))] + [(k, k + 1) for k in range(20)]
+    for directed in (False, True):
+        g = Graph.from_tuples(spark, edges, n, directed)
+        far = distances(edges, n, directed)
+        pairs = [d for s in range(n) for t, d in far[s].items() if s < t]
+        assert np.isclose(paths.mean_shortest_path(g).first()[0], np.mean(pairs))
+        want = [0.0 if len(f) == 1 else (len(f) - 1) / sum(f.values()) * (len(f) - 1) / (n - 1) for f in far]
+        assert np.allclose(vector(paths.closeness(g)), want)
+
+
+def test_core_numbers_of_a_long_path_are_whole_or_an_error(spark):
+    g = Graph.from_tuples(spark, [(k, k + 1) for k in range(30)], 31)
+    assert vector(community.core_numbers(g)) == [1] * 31
+    with pytest.raises(BackendError):
+        community.core_numbers(g, max_iter=5)
+
+
+def test_a_view_has_its_own_nodes(spark):
+    g = graph(spark, "2K3b")
+    v = g.view(spark.createDataFrame([(0,), (1,), (2,), (5,), (99,)], "node long"))
+    assert v.n_nodes == 4 and v.n_edges() == 3
+    assert sorted(map(tuple, degree.degree(v).collect())) == [(0, 2), (1, 2), (2, 2), (5, 0)]
+    assert degree.summary(v).first()["density"] == 0.5
+    degree.validate(v)
+    assert sorted(map(tuple, components.components(v).collect())) == [(0, 0), (1, 0), (2, 0), (5, 1)]
+
+
+def test_one_node(spark):
+    g = graph(spark, "PAW")
+    assert [tuple(r) for r in degree.degree(g, node=2).collect()] == [(2, 3)]
+    assert [tuple(r) for r in degree.strength(g, node=3).collect()] == [(3, 1.0)]
+    assert [tuple(r) for r in triangles.local_clustering(g, node=0).collect()] == [(0, 1.0)]
+    for wrong in (-1, 4, 1.5, "1", True):
+        with pytest.raises(ValidationError):
+            degree.strength(g, node=wrong)
+
+
+@pytest.mark.parametrize("rows,n", [([(0, 1.7)], 3), ([(0, -1)], 3), ([(0, 3)], 3), ([("0", 1)], 3), ([(0,)], 3), ([(True, 1)], 3)])
+def test_the_constructor_takes_only_node_ids(spark, rows, n):
+    with pytest.raises(ValidationError):
+        Graph.from_tuples(spark, rows, n)
+
+
+def test_the_last_of_parallel_edges_wins_whatever_the_source(spark):
+    rows = pd.DataFrame({"a": [0, 1, 0, 0], "b": [1, 2, 1, 1], "w": [5.0, 1.0, 9.0, 2.0]})
+    for source in (rows, spark.createDataFrame(rows).coalesce(1)):
+        g = read_edges(spark, source, "a", "b", "w", directed=True)
+        assert sorted(map(tuple, degree.adjacency(g, "dense").collect())) == [(0, 1, 2.0), (1, 2, 1.0)]
+    assert degree.adjacency(g, "coo").count() == 4
+    with pytest.raises(ValidationError):
+        degree.adjacency(g, "other")
+
+
+def test_partition_summary(spark):
+    g = graph(spark, "2K3b")
+    assert np.allclose(tuple(community.partition_summary(g, community.louvain(g)).first()), (0.357143, 2), atol=1e-6)
+    # a node without a community is one of its own
+    some = spark.createDataFrame([(k, 0) for k in range(3)], "node long, community long")
+    whole = spark.createDataFrame([(k, 0 if k < 3 else k) for k in range(6)], "node long, community long")
+    assert np.isclose(community.modularity(g, some).first()[0], community.modularity(g, whole).first()[0])
