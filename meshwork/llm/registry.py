@@ -16,4 +16,4 @@ QUERIES = {
     "op9_token_counts": token_counts.op9_token_counts,
     "op10_brown_lm": brown_lm.op10_brown_lm,
 }
-ORACLES: dict[str, str] = {"op8_topk_search": topk_search.ORACLE}
+ORACLES: dict[str, str] = {"op7_substring_dedup": substring_dedup.ORACLE, "op8_topk_search": topk_search.ORACLE}

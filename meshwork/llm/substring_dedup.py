@@ -238,3 +238,17 @@ def substring_dedup(docs: DataFrame, width: int = WIDTH) -> DataFrame:
 
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _joined(table(spark, sf_dir, "documents"), WIDTH, _digest(WIDTH), "doc_id long, n_words long, n_removed long, kept_sha256 string")
+
+
+#: The same by strings of whole windows; for tables whose doc_ids differ.
+ORACLE = """
+WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[ \\t\\n\\x0B\\f\\r]+'), lambda x: x <> '') AS w FROM documents WHERE doc_id IS NOT NULL),
+p AS (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS s FROM d WHERE len(w) >= 20),
+k AS (SELECT doc_id, s, array_to_string(w[s:s + 19], ' ') AS k FROM p),
+o AS (SELECT doc_id, s, row_number() OVER (PARTITION BY k ORDER BY doc_id, s) AS n FROM k),
+g AS (SELECT DISTINCT doc_id, unnest(range(s, s + 20)) AS i FROM o WHERE n > 1),
+c AS (SELECT doc_id, list(i) AS gone FROM g GROUP BY doc_id),
+x AS (SELECT d.doc_id, d.w, coalesce(c.gone, []) AS gone FROM d LEFT JOIN c ON d.doc_id = c.doc_id),
+r AS (SELECT x.doc_id, len(w) AS n_words, len(gone) AS n_removed, CASE WHEN len(gone) = 0 THEN w ELSE (SELECT list(w[j] ORDER BY j) FROM (SELECT unnest(range(1, len(w) + 1)) AS j) q WHERE NOT list_contains(gone, j)) END AS kept FROM x)
+SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(n_removed AS BIGINT) AS n_removed, sha256(array_to_string(coalesce(kept, []), ' ')) AS kept_sha256 FROM r
+"""
