@@ -146,7 +146,7 @@ def _count(n_doc: int):
             many = many[_later(docs[many], starts[many], hashes[many])]
         many = many[np.lexsort((starts[many], texts[many], docs[many]))]
         buckets, payloads = [], []
-        for b, at in _by_bucket(bucket_of(docs[many], n_doc)):
+        for b, at in _by_bucket(bucket_of(docs[many], texts[many], n_doc)):
             rows = many[at]
             buckets.append(b)
             payloads.append(_pack(docs[rows], texts[rows], starts[rows], None))
@@ -155,13 +155,13 @@ def _count(n_doc: int):
     return run
 
 
-def bucket_of(docs: np.ndarray, n: int) -> np.ndarray:
-    """The document bucket of ids; :func:`bucket_column` is the same in SQL."""
-    return ((docs.astype(np.int64) % 1_000_000_007) * 40503 >> 3) % n
+def bucket_of(docs: np.ndarray, texts: np.ndarray, n: int) -> np.ndarray:
+    """The bucket of ids and text keys, so that neither one id nor one text fills it; :func:`bucket_column` is the same in SQL."""
+    return ((docs.astype(np.int64) % 1_000_000_007) * 40503 + (texts.astype(np.int64) % 1_000_000_007) * 30011 >> 3) % n
 
 
 def bucket_column(n: int) -> F.Column:
-    return F.expr(f"pmod(shiftright(pmod(doc_id, 1000000007L) * 40503L, 3), {n}L)")
+    return F.expr(f"pmod(shiftright(pmod(doc_id, 1000000007L) * 40503L + pmod(text_key, 1000000007L) * 30011L, 3), {n}L)")
 
 
 OUT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("intervals", pa.list_(pa.int64())), ("kept", pa.string())])
@@ -218,7 +218,7 @@ def repeated_windows(docs: DataFrame, width: int = WIDTH) -> tuple[DataFrame, St
     n_hash = max(1, -(-size // (6 * WINDOWS_PER_BUCKET)))
     n_doc = max(1, -(-size // TEXT_BYTES_PER_BUCKET))
     texts = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
-    texts = texts.select("doc_id", "text", F.xxhash64("text").alias("text_key"), bucket_column(n_doc).alias("doc_bucket"))
+    texts = texts.select("doc_id", "text", F.xxhash64("text").alias("text_key")).withColumn("doc_bucket", bucket_column(n_doc))
     schema = "bucket long, payload binary"
     # written with its shuffle freed at once: the windows' shuffle is gone before the texts move
     reports = stored(texts.mapInArrow(_send(width, n_hash), schema).groupBy("bucket").applyInArrow(_count(n_doc), schema))
