@@ -259,7 +259,7 @@ def _(spark, d):
 
 @query("louvain")
 def _(spark, d):
-    return community.louvain(on.copurchase(spark, d))
+    return community.louvain(on.trade(spark, d))
 
 
 @query("walk_2", f"WITH {TRADE}, o AS (SELECT src, count(*) AS o FROM g GROUP BY src), a AS (SELECT g.src, g.dst, CAST(count(*) AS DOUBLE) / any_value(o.o) AS p FROM g JOIN o ON g.src = o.src GROUP BY g.src, g.dst) SELECT x.src, y.dst, round(sum(x.p * y.p), 9) AS probability FROM a x JOIN a y ON x.dst = y.src GROUP BY x.src, y.dst")
