@@ -221,7 +221,8 @@ def gains(pairs: np.ndarray, of: np.ndarray, left: np.ndarray, right: np.ndarray
         without[has, :, a[has]] -= l[has]
         without[has, a[has], a[has]] -= k[has]
         base = _xlogx(without)
-        rows, columns, d = without.sum(axis=2), without.sum(axis=1), without.diagonal(axis1=1, axis2=2)
+        # the neighbours' own totals grow by the word's bigrams whichever class it joins
+        rows, columns, d = without.sum(axis=2) + l, without.sum(axis=1) + r, without.diagonal(axis1=1, axis2=2)
         found = (_xlogx(without + r[:, None, :]) - base).sum(axis=2) + (_xlogx(without + l[:, :, None]) - base).sum(axis=1)
         found += _xlogx(d + r + l + k[:, None]) - _xlogx(d + r) - _xlogx(d + l) + _xlogx(d)
         found -= _xlogx(rows + (r.sum(axis=1) + k)[:, None]) - _xlogx(rows) + _xlogx(columns + (l.sum(axis=1) + k)[:, None]) - _xlogx(columns)
@@ -402,7 +403,7 @@ def joining_gains(pairs: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.
             rows = _xlogx(table_[x] + counts[word, x][:, None]) - of_table[x]
             heads = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
             out[word[heads]] += np.add.reduceat(rows, heads, axis=0)
-    d, rows, columns = pairs.diagonal(), pairs.sum(axis=1), pairs.sum(axis=0)
+    d, rows, columns = pairs.diagonal(), pairs.sum(axis=1) + left, pairs.sum(axis=0) + right
     out += _xlogx(d + left + right) - _xlogx(d + right) - _xlogx(d + left) + _xlogx(d)
     out -= _xlogx(rows + right.sum(axis=1, keepdims=True)) - _xlogx(rows) + _xlogx(columns + left.sum(axis=1, keepdims=True)) - _xlogx(columns)
     return out
