@@ -117,7 +117,11 @@ def text_blocks(batches: Iterable[pa.RecordBatch], column: str = "text", max_byt
 
 def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of all words, and for each text the index of its first word (n + 1 values)."""
-    word = ~SPACE[data]
+    return run_spans(~SPACE[data], offsets)
+
+
+def run_spans(word: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As :func:`word_spans`, of the maximal runs of marked bytes."""
     if not len(word):
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(offsets), np.int64)
     before = np.empty_like(word)

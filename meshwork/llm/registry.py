@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import brown_lm, decontamination, pii, quality_crf, sentencepiece_nbest, simhash, substring_dedup, token_counts, topk_search, toxicity
+from . import brown_lm, decontamination, one_bit_search, pii, quality_crf, sentencepiece_nbest, simhash, spelling_variants, substring_dedup, token_alignment, token_counts, topk_search, toxicity
 
 QUERIES = {
     "op1_decontamination": decontamination.op1_decontamination,
@@ -15,5 +15,8 @@ QUERIES = {
     "op8_topk_search": topk_search.op8_topk_search,
     "op9_token_counts": token_counts.op9_token_counts,
     "op10_brown_lm": brown_lm.op10_brown_lm,
+    "op11_spelling_variants": spelling_variants.op11_spelling_variants,
+    "op12_one_bit_search": one_bit_search.op12_one_bit_search,
+    "op13_token_alignment": token_alignment.op13_token_alignment,
 }
 ORACLES: dict[str, str] = {"op7_substring_dedup": substring_dedup.ORACLE, "op8_topk_search": topk_search.ORACLE}

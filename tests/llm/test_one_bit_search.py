@@ -1,0 +1,109 @@
+import numpy as np
+import pytest
+from pyspark.sql import types as T
+
+from meshwork.llm import one_bit_search as op
+
+SCHEMA = T.StructType([T.StructField("vec_id", T.LongType()), T.StructField("embedding", T.ArrayType(T.FloatType())), T.StructField("score", T.DoubleType()), T.StructField("size", T.StringType()), T.StructField("code", T.StringType())])
+
+
+def frame(spark, rows, partitions=3):
+    return spark.createDataFrame([(i, v, 0.5, "s", "c") for i, v in rows], SCHEMA).repartition(partitions)
+
+
+def fine(v):
+    return v is not None and len(v) and all(x is not None and np.isfinite(x) for x in v) and any(v)
+
+
+def brute(rows, every=50, k=5):
+    rows = [(i, np.array(v, dtype=np.float32).astype(float)) for i, v in rows if i is not None and fine(v)]
+    asked = {}
+    for i, v in rows:
+        if i % every == 0 and (i not in asked or v.tolist() < asked[i].tolist()):
+            asked[i] = v
+    out = {}
+    for q, v in asked.items():
+        found = [(-float((v * u).sum() / (np.sqrt((v * v).sum()) * np.sqrt((u * u).sum()))), i) for i, u in rows if i != q and len(u) == len(v)]
+        out[q] = [(i, -s) for s, i in sorted(found)[:k]]
+    return out
+
+
+def got(df):
+    out = {}
+    for r in sorted(df.collect()):
+        out.setdefault(r.query_id, []).append((r.vec_id, r.score))
+        assert r["rank"] == len(out[r.query_id])
+    return out
+
+
+def recall(found, want):
+    hits = sum(len({i for i, _ in found.get(q, [])} & {i for i, _ in v}) for q, v in want.items())
+    return hits / sum(len(v) for v in want.values())
+
+
+def clustered(n, size, seed):
+    r = np.random.default_rng(seed)
+    middles = r.normal(size=(12, size)) * 2 + 1
+    return (middles[r.integers(0, 12, n)] + r.normal(size=(n, size))).astype(np.float32)
+
+
+@pytest.mark.parametrize("size", [5, 64, 100])
+def test_recall_and_exact_scores(spark, size):
+    rows = [(i, v.tolist()) for i, v in enumerate(clustered(2500, size, 3))]
+    df = frame(spark, rows)
+    found, want = got(op.nearest(df, df.filter("vec_id % 50 = 0"))), brute(rows)
+    assert set(found) == set(want)
+    assert recall(found, want) >= 0.99
+    for q, best in found.items():
+        every = dict(brute([(q, rows[q][1])] + [rows[i] for i, _ in best])[q])
+        assert all(abs(every[i] - s) < 1e-14 for i, s in best)
+
+
+def test_few_vectors_are_scored():
+    rows = clustered(6000, 64, 4).astype(float)
+    ids = np.arange(6000)
+    sample = [(int(i), rows[i]) for i in range(0, 6000, 3)]
+    middle = op.centres(sample)
+    asked = op.prepared([(int(i), rows[i]) for i in range(0, 6000, 50)], sample, middle, 5, op.SEED)[64]
+    scored = op.scan(ids, rows, op.encoded(rows, middle[64]), asked, [op.Best() for _ in asked.ids], 5, op.ERROR)
+    assert scored < 0.1 * 6000 * 120
+
+
+def test_bounds_hold():
+    rows = clustered(3000, 64, 5).astype(float)
+    middle = rows[:100].mean(axis=0) / 30
+    asked = op.prepared([(i, rows[i]) for i in range(40)], [], {64: middle}, 5, op.SEED)[64]
+    estimate, slack = op.bounds(op.encoded(rows, middle), asked, op.ERROR)
+    true = op.units(rows) @ op.units(rows[:40]).T
+    assert (np.abs(estimate - true) <= slack).mean() > 0.999
+    assert abs((estimate - true).mean()) < 0.01
+
+
+def test_rotation_keeps_products():
+    rows = np.random.default_rng(1).normal(size=(20, 37))
+    turned = op.rotate(rows)
+    assert turned.shape == (20, 64)
+    assert np.allclose(turned @ turned.T, rows @ rows.T)
+
+
+def test_rows_of_all_kinds(spark):
+    r = np.random.default_rng(7)
+    rows = [(i, v.tolist()) for i, v in enumerate(clustered(300, 8, 8))]
+    rows += [(i, [1.0, 2.0, 3.0]) for i in range(400, 520)]  # one vector many times, queries among them
+    rows += [(450, [1.0, 2.0, 3.0])] * 30 + [(1000, [2.0, 4.0, 6.0]), (1050, [float(x) for x in r.normal(size=3)])]
+    rows += [(600, None), (601, []), (602, [0.0, 0.0, 0.0]), (603, [1.0, None, 2.0]), (604, [float("nan"), 1.0, 1.0]), (605, [float("inf"), 1.0, 1.0]), (None, [1.0, 2.0, 3.0])]
+    rows += [(650, [1e38, 1e38, -1e38]), (651, [1e-40, 1e-40, 0.0]), (700, [1.0]), (701, [-3.0]), (750, [5.0, 1.0])]
+    df = frame(spark, rows)
+    found, want = got(op.nearest(df, df.filter("vec_id % 50 = 0"))), brute(rows)
+    want = {q: v for q, v in want.items() if v}
+    assert {q: [i for i, _ in v] for q, v in found.items()} == {q: [i for i, _ in v] for q, v in want.items()}
+    assert all(abs(s - t) < 1e-12 for q in want for (_, s), (_, t) in zip(found[q], want[q]))
+
+
+def test_blocks_of_queries_and_empty_tables(spark):
+    rows = [(i, v.tolist()) for i, v in enumerate(clustered(900, 16, 9))]
+    df = frame(spark, rows, 5)
+    asked = df.filter("vec_id % 50 = 0")
+    assert got(op.nearest(df, asked, query_block=6)) == got(op.nearest(df, asked))
+    assert op.nearest(frame(spark, []), frame(spark, [])).collect() == []
+    assert op.nearest(df, df.filter("false")).collect() == []
