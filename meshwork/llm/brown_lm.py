@@ -335,7 +335,7 @@ def clustered(corpus: Stored, n_words: int, repeated: int, classes: int = CLASSE
                 if sum(gained) <= LEAST_GAIN * pairs.sum():
                     break
             _, of, pairs, left, right, loops = kept
-        # in a random order, so that the words of a batch are no neighbours in frequency
+        # in a random order, so that neighbours in frequency don't follow one another
         own = draw.permutation(np.flatnonzero((dealt == turn % 2) & (draw.random(units) < share)) if whole else np.flatnonzero(of[:-1] < 0))
         turn += whole
         at, has = of[own], np.flatnonzero(of[own] >= 0)
@@ -343,20 +343,21 @@ def clustered(corpus: Stored, n_words: int, repeated: int, classes: int = CLASSE
         l[has, at[has]] -= k[has]
         r[has, at[has]] -= k[has]
         of, pairs, moved = of.copy(), pairs.copy(), 0
-        for low in range(0, len(own), BATCH):
-            # later words see the table as the earlier ones' moves leave it, but for bigrams of two words that move
-            part = slice(low, low + BATCH)
-            gain = gains(pairs, at[part], l[part], r[part], k[part])[:, :free]
-            best = gain.argmax(axis=1)
-            now_at = np.where(at[part] >= 0, gain[np.arange(len(gain)), at[part]], -np.inf)
-            for n in np.flatnonzero(gain[np.arange(len(gain)), best] > now_at + 1e-6).tolist():
-                for c, sign in ((at[low + n], -1), (best[n], 1)):
-                    if c >= 0:
-                        pairs[c] += sign * r[low + n]
-                        pairs[:, c] += sign * l[low + n]
-                        pairs[c, c] += sign * k[low + n]
-                of[own[low + n]] = best[n]
-                moved += 1
+        for n in range(len(own)):
+            # one at a time: words that see the same empty class at once would all move into it. Later words see the table as
+            # the earlier ones' moves leave it, but for bigrams of two words that move
+            part = slice(n, n + 1)
+            gain = gains(pairs, at[part], l[part], r[part], k[part])[0, :free]
+            best = int(gain.argmax())
+            if gain[best] <= (gain[at[n]] if at[n] >= 0 else -np.inf) + 1e-6:
+                continue
+            for c, sign in ((at[n], -1), (best, 1)):
+                if c >= 0:
+                    pairs[c] += sign * r[n]
+                    pairs[:, c] += sign * l[n]
+                    pairs[c, c] += sign * k[n]
+            of[own[n]] = best
+            moved += 1
         if whole and not moved:
             gained = [gained[1], 0.0]
             if sum(gained) <= LEAST_GAIN * pairs.sum():

@@ -153,7 +153,7 @@ def test_class_model_beats_base_on_two_languages(spark, monkeypatch):
         own = [f"{'ab'[k % 2]}{x}" for x in r.integers(0, 30, 40)]
         rows.append((k, " ".join(own)))
     docs = frame(spark, rows)
-    for units, seeds in ((1 << 14, 700), (40, 20)):
+    for units, seeds in ((1 << 14, 700), (40, 20), (60, 10)):
         monkeypatch.setattr(op, "UNITS", units)
         monkeypatch.setattr(op, "SEEDS", seeds)
         found = op.scored(docs, f"NOT ({op.HELD_OUT})").toPandas()
