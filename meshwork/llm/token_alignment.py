@@ -44,6 +44,8 @@ MODEL = f"{FOLDER}/piece_bpe_32k.model"
 MAX_FILE_BYTES = 16 << 20
 #: Pairs of ids that can be linked, at most; two public vocabularies have a few hundred thousand.
 MAX_PAIRS = 4_000_000
+#: Bytes of texts whose distinct pieces are encoded together.
+BLOCK_BYTES = 4 << 20
 LINKS = "doc_id long, n_a long, n_b long, n_groups long, groups_sha256 string, links array<int>"
 _UNSURE_BEFORE = np.zeros(256, dtype=bool)
 _UNSURE_BEFORE[[*range(0x80, 0x8B), 0x9F, 0xA0, 0xA8, 0xA9, 0xAF, *range(0x1C, 0x20)]] = True
@@ -100,12 +102,34 @@ class Tokenizers:
             self.b_bytes.append(bytes([int(piece[3:5], 16)]) if self.b.is_byte(i) else b"" if self.b.is_control(i) or self.b.is_unknown(i) else piece.replace("▁", " ").encode())
         self.a_size = np.array(list(map(len, self.a_bytes)), dtype=np.int64)
         self.b_size = np.array(list(map(len, self.b_bytes)), dtype=np.int64)
-        self.a_text = [str(i) for i in range(len(self.a_bytes))]
-        self.b_text = [str(i) for i in range(len(self.b_bytes))]
-
-    def encode(self, pieces: list[str]) -> tuple[list[list[int]], list[list[int]]]:
-        """The ids of pieces that begin with a space; B puts its own there."""
-        return self.a.encode_ordinary_batch(pieces, num_threads=1), self.b.encode([p[1:] for p in pieces], num_threads=1)
+        self.a_text = np.array([str(i) for i in range(len(self.a_bytes))], dtype=object)
+        self.b_text = np.array([str(i) for i in range(len(self.b_bytes))], dtype=object)
+
+    def encode(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """A's ids of all pieces and how many each has, and B's. Pieces begin with a space, which B puts there itself."""
+        strings = [p.decode("utf-8", "replace") for p in pieces]
+        b = self.b.encode([x[1:] for x in strings], num_threads=1)
+        n_b = np.fromiter(map(len, b), dtype=np.int64, count=len(b))
+        # pieces that may stand between any others are encoded together: a call for each costs more than the encoding
+        sizes = np.array(list(map(len, pieces)), dtype=np.int64)
+        plain = np.array([len(p) > 1 and not _UNSURE_BEFORE[p[-1]] and not _UNSURE_AFTER[p[1]] for p in pieces], dtype=bool) & self.cuts
+        n_a, parts = np.zeros(len(pieces), dtype=np.int64), {}
+        at = np.flatnonzero(plain)
+        together = np.array(self.a.encode_ordinary("".join([strings[k] for k in at.tolist()])), dtype=np.int64)
+        ends = np.searchsorted(np.cumsum(self.a_size[together]), np.cumsum(sizes[at]), "right")
+        n_a[at] = np.diff(ends, prepend=0)
+        if len(at) and (len(together) != ends[-1] or np.any(np.cumsum(self.a_size[together])[ends - 1] != np.cumsum(sizes[at]))):
+            plain[:] = False  # bytes that are not UTF-8
+        for k in np.flatnonzero(~plain).tolist():
+            parts[k] = np.array(self.a.encode_ordinary(strings[k]), dtype=np.int64)
+            n_a[k] = len(parts[k])
+        a = np.empty(int(n_a.sum()), dtype=np.int64)
+        own = np.repeat(plain, n_a)
+        a[own] = together[: own.sum()]
+        starts = np.cumsum(n_a) - n_a
+        for k, ids in parts.items():
+            a[starts[k] : starts[k] + len(ids)] = ids
+        return a, n_a, np.fromiter((i for x in b for i in x), dtype=np.int64, count=int(n_b.sum())), n_b
 
 
 def tokenizers(files: Files) -> Tokenizers:
@@ -155,7 +179,7 @@ class Alignment(NamedTuple):
         return np.flatnonzero((self.a_ends[self.a_at] == self.cuts) & (self.b_ends[self.b_at] == self.cuts))
 
     def ends(self) -> np.ndarray:
-        """(token of A, token of B) of all pairs whose ranges end together."""
+        """(token of A, token of B) of all pairs whose ranges end together, one for each group."""
         at = self.closing()
         return np.column_stack([self.a_at[at], self.b_at[at]])
 
@@ -184,38 +208,44 @@ class Pieces(NamedTuple):
     text: list[str]  # the groups as text
 
 
+def _given(pieces: list[bytes], token_bytes: list[bytes], ids: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Whether each piece's tokens have its bytes."""
+    tokens = [token_bytes[i] for i in ids.tolist()]
+    sizes = np.array(list(map(len, pieces)), dtype=np.int64)
+    ends = np.concatenate([[0], np.cumsum(list(map(len, tokens)))]).astype(np.int64)[np.cumsum(n)]
+    if np.array_equal(ends, np.cumsum(sizes)) and b"".join(tokens) == b"".join(pieces):
+        return np.ones(len(pieces), dtype=bool)
+    bounds = np.concatenate([[0], np.cumsum(n)]).tolist()
+    return np.array([b"".join(tokens[i:k]) == p for p, i, k in zip(pieces, bounds, bounds[1:])], dtype=bool)
+
+
 def aligned(own: Tokenizers, pieces: list[bytes]) -> Pieces:
-    strings = [p.decode("utf-8", "replace") for p in pieces]
-    a_ids, b_ids = own.encode(strings)
-    same = np.array([
-        b"".join([own.a_bytes[i] for i in a]) == p and b"".join([own.b_bytes[i] for i in b]) == p for p, a, b in zip(pieces, a_ids, b_ids)
-    ], dtype=bool)
-    a_ids = [x if ok else [] for x, ok in zip(a_ids, same)]
-    b_ids = [x if ok else [] for x, ok in zip(b_ids, same)]
-    n_a, n_b = (np.array(list(map(len, x)), dtype=np.int64) for x in (a_ids, b_ids))
-    a, b = (np.array([i for x in ids for i in x], dtype=np.int64) for ids in (a_ids, b_ids))
+    a, n_a, b, n_b = own.encode(pieces)
+    same = _given(pieces, own.a_bytes, a, n_a) & _given(pieces, own.b_bytes, b, n_b)
+    a, b, n_a, n_b = a[np.repeat(same, n_a)], b[np.repeat(same, n_b)], np.where(same, n_a, 0), np.where(same, n_b, 0)
     # the pieces stand one after the other, so every piece's end is shared
     found = Alignment.of(a, b, np.cumsum(own.a_size[a]), np.cumsum(own.b_size[b]))
     pairs = found.ends()
     piece = np.repeat(np.arange(len(pieces)), n_a)[pairs[:, 0]]
     n_groups = np.bincount(piece, minlength=len(pieces))
-    return Pieces(same, n_a, n_b, n_groups, (a[pairs[:, 0]] << 32) + b[pairs[:, 1]], np.concatenate([[0], np.cumsum(n_groups)]), _rendered(own, a_ids, b_ids, found, n_a, n_b, n_groups))
+    return Pieces(same, n_a, n_b, n_groups, (a[pairs[:, 0]] << 32) + b[pairs[:, 1]], np.concatenate([[0], np.cumsum(n_groups)]), _rendered(own, found, n_groups))
 
 
-def _rendered(own: Tokenizers, a_ids: list, b_ids: list, found: Alignment, n_a: np.ndarray, n_b: np.ndarray, n_groups: np.ndarray) -> list[str]:
+def _rendered(own: Tokenizers, found: Alignment, n_groups: np.ndarray) -> list[str]:
     """a1,a2|b1;a3|b2,b3 for each piece."""
-    out = []
-    ends = found.ends().tolist()
-    at = a_from = b_from = 0
-    for a, b, na, nb, groups in zip(a_ids, b_ids, n_a.tolist(), n_b.tolist(), n_groups.tolist()):
-        parts, i, k = [], 0, 0
-        for a_to, b_to in ends[at : at + groups]:
-            a_to, b_to = a_to + 1 - a_from, b_to + 1 - b_from
-            parts.append(f"{','.join([own.a_text[x] for x in a[i:a_to]])}|{','.join([own.b_text[x] for x in b[k:b_to]])}")
-            i, k = a_to, b_to
-        out.append(";".join(parts))
-        at, a_from, b_from = at + groups, a_from + na, b_from + nb
-    return out
+    a_last, b_last = found.ends().T
+    a_group, b_group = found.groups()
+    a_text, b_text = own.a_text[found.a] + ",", own.b_text[found.b] + ","
+    a_text[a_last], b_text[b_last] = own.a_text[found.a[a_last]] + "|", own.b_text[found.b[b_last]] + ";"
+    # a group's tokens of A stand before its tokens of B
+    out = np.empty(len(a_text) + len(b_text), dtype=object)
+    out[np.arange(len(a_text)) + np.concatenate([[0], b_last + 1])[a_group]] = a_text
+    at = np.arange(len(b_text)) + (a_last + 1)[b_group]
+    out[at] = b_text
+    ends = np.cumsum(np.fromiter(map(len, out), dtype=np.int64, count=len(out)))
+    whole = "".join(out.tolist())
+    cuts = np.concatenate([[0], ends[at[b_last]]])[np.concatenate([[0], np.cumsum(n_groups)])].tolist()
+    return [whole[i : max(i, k - 1)] for i, k in zip(cuts, cuts[1:])]
 
 
 def piece_bounds(block: Block, cuts: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -238,7 +268,7 @@ def linked(docs: DataFrame, files: Files) -> DataFrame:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = tokenizers(sent.value)
-        for block in text_blocks(batches):
+        for block in text_blocks(batches, max_bytes=BLOCK_BYTES):
             yield _aligned_block(own, pairs.value, block)
 
     return docs.select("doc_id", "text").mapInArrow(run, LINKS)
@@ -344,10 +374,10 @@ def align_text(own: Tokenizers, text: bytes) -> Alignment | None:
     """A whole text's alignment; None where it has no tokens."""
     if not text:
         return None
-    (a,), (b,) = own.encode([" " + text.decode("utf-8", "replace")])
-    if any(b"".join(x[i] for i in ids) != b" " + text for x, ids in ((own.a_bytes, a), (own.b_bytes, b))):
+    whole = [b" " + text]
+    a, n_a, b, n_b = own.encode(whole)
+    if not (_given(whole, own.a_bytes, a, n_a) & _given(whole, own.b_bytes, b, n_b))[0]:
         return None
-    a, b = np.array(a), np.array(b)
     return Alignment.of(a, b, np.cumsum(own.a_size[a]), np.cumsum(own.b_size[b]))
 
 

@@ -30,7 +30,10 @@ def brute(rows, least=6, count=5, ratio=5, every=199):
                 w = w[: h % len(w)] + w[h % len(w) + 1 :]
             n[w] += 1
     n = {w: k for w, k in n.items() if len(w) >= least and k >= count}
-    near = {w: [v for v in n if one_edit(w, v)] for w in n}
+    by_length = {}
+    for w in n:
+        by_length.setdefault(len(w), []).append(w)
+    near = {w: [v for k in (-1, 0, 1) for v in by_length.get(len(w) + k, ()) if one_edit(w, v)] for w in n}
     best = {w: min(near[w], key=lambda v: (-n[v], v)) for w in n if near[w]}
     form = {w: v for w, v in best.items() if n[v] >= ratio * n[w]}
 

@@ -32,9 +32,10 @@ def brute(rows, own, public):
             if any(b"".join(x[k] for k in ids) != (" " + text).encode() for x, ids in ((own.a_bytes, a), (own.b_bytes, b))):
                 a, b = [], []
             ends = [np.cumsum([len(x[k]) for k in ids]).tolist() for x, ids in ((own.a_bytes, a), (own.b_bytes, b))]
+            place = [{end: k for k, end in enumerate(x)} for x in ends]
             i_from = k_from = 0
             for end in sorted(set(ends[0]) & set(ends[1])):
-                x, y = ends[0].index(end), ends[1].index(end)
+                x, y = place[0][end], place[1][end]
                 links.append((a[x], b[y]))
                 groups.append(f"{','.join(map(str, a[i_from : x + 1]))}|{','.join(map(str, b[k_from : y + 1]))}")
                 i_from, k_from = x + 1, y + 1
