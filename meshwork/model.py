@@ -8,13 +8,14 @@ stored once, in either orientation; parallel edges and self-loops are kept.
 from __future__ import annotations
 
 from collections.abc import Iterable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from numbers import Integral
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meshwork.errors import ValidationError
+from meshwork.plans.fixpoint import materialised
 
 EDGE_SCHEMA = "src long, dst long, weight double, eid long"
 
@@ -67,6 +68,10 @@ class Graph:
         """All ids are below this: n_nodes, but for a view."""
         return self.n_nodes if self.id_bound is None else self.id_bound
 
+    def stored(self) -> Graph:
+        """The same graph, its edges' plan run once: for operators that read them more than once."""
+        return replace(self, edges=materialised(self.edges))
+
     def n_edges(self) -> int:
         return self.edges.count()
 

@@ -54,7 +54,7 @@ def strength(graph: Graph, mode: str = "out", loop_once: bool = False, node: int
 
 
 def centrality(graph: Graph, method: str = "degree", **options) -> DataFrame:
-    """(node, centrality): degree (not normalised), pagerank or closeness."""
+    """(node, centrality): degree (not normalised), pagerank, closeness, betweenness or eigenvector."""
     if method == "degree":
         return degree(graph, "total").withColumnRenamed("degree", "centrality")
     if method == "pagerank":
@@ -65,7 +65,11 @@ def centrality(graph: Graph, method: str = "degree", **options) -> DataFrame:
         from meshwork.operators.paths import closeness
 
         return closeness(graph, **options)
-    raise NotImplementedError(f"centrality {method}")
+    if method in ("betweenness", "eigenvector"):
+        from meshwork.operators import centrality as more
+
+        return getattr(more, method)(graph, **options)
+    raise ValidationError(f"Unknown centrality: {method}")
 
 
 def degree_distribution(graph: Graph, mode: str = "out") -> DataFrame:

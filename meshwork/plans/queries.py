@@ -199,13 +199,13 @@ def _first(graph):
 
 @query("bfs_from_first", f"{_BFS} SELECT v.node, coalesce(m.dist, 9223372036854775807) AS distance FROM v LEFT JOIN m ON v.node = m.node")
 def _(spark, d):
-    graph = on.copurchase(spark, d)
+    graph = on.copurchase(spark, d).stored()
     return paths.shortest_paths(graph, _first(graph))
 
 
 @query("reachable_from_first", f"{_BFS} SELECT v.node, m.dist IS NOT NULL AS reachable FROM v LEFT JOIN m ON v.node = m.node")
 def _(spark, d):
-    graph = on.copurchase(spark, d)
+    graph = on.copurchase(spark, d).stored()
     return paths.reachability(graph, _first(graph))
 
 

@@ -43,6 +43,14 @@ def part_supplier(spark: SparkSession, sf_dir: str) -> Graph:
     return Graph.of(edges, parts + suppliers)
 
 
+def supply_costs(spark: SparkSession, sf_dir: str) -> Graph:
+    """As :func:`part_supplier`, weighted by the items' extended prices."""
+    parts = n_parts(spark, sf_dir)
+    suppliers = table(spark, sf_dir, "supplier").agg(F.max("s_suppkey")).first()[0] + 1
+    edges = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("src"), (F.col("l_suppkey") + parts).alias("dst"), F.col("l_extendedprice").alias("weight"))
+    return Graph.of(edges, parts + suppliers, weighted=True)
+
+
 def event_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(id, t, value): the events of each user in order of time, t from zero."""
     from pyspark.sql import Window

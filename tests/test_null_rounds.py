@@ -1,0 +1,64 @@
+import numpy as np
+import pytest
+
+from meshwork.model import Graph
+from meshwork.operators import nulls
+
+
+def samples(df):
+    out = {}
+    for r in df.collect():
+        out.setdefault(r["sample"], []).append((r.src, r.dst))
+    return out
+
+
+def degrees(edges, n):
+    return np.bincount(np.array(edges).ravel(), minlength=n).tolist()
+
+
+def test_swaps_keep_degrees_and_mix(spark, monkeypatch):
+    monkeypatch.setattr(nulls, "EDGES_A_GROUP", 50)
+    n = 120
+    edges = [(k, (k + d) % n) for k in range(n) for d in (1, 2, 3)]
+    g = Graph.from_tuples(spark, edges + edges[:5] + [(4, 4)], n)
+    found = samples(nulls.swapped_edges(g, 3, 7))
+    plain = {(min(e), max(e)) for e in edges}
+    assert len(found) == 3
+    for e in found.values():
+        assert len(set(e)) == len(e) == len(plain) and all(a < b for a, b in e)
+        assert degrees(e, n) == degrees(list(plain), n)
+        # of a graph as sparse as this, few edges are met again by chance
+        assert len(set(e) & plain) < 0.15 * len(plain)
+    assert len({tuple(sorted(e)) for e in found.values()}) == 3
+    assert samples(nulls.swapped_edges(g, 3, 7)).keys() == found.keys()
+
+
+def test_swaps_count_what_they_accept(spark, monkeypatch):
+    """A graph that admits no swap ends after its tries, as it was; so do graphs without two edges."""
+    full = [(a, b) for a in range(4) for b in range(a + 1, 4)]
+    assert sorted(samples(nulls.swapped_edges(Graph.from_tuples(spark, full, 4), 1, 1, tries_per_edge=2))[0]) == full
+    assert samples(nulls.swapped_edges(Graph.from_tuples(spark, [(1, 0)], 2), 2)) == {0: [(0, 1)], 1: [(0, 1)]}
+    assert samples(nulls.swapped_edges(Graph.of(spark.createDataFrame([], "src long, dst long"), 3), 2)) == {}
+
+
+def test_summary_of_samples(spark):
+    g = Graph.from_tuples(spark, [(0, 1), (1, 2), (2, 3)], 4)
+    rows = [(0, 0, 1), (0, 1, 2), (0, 3, 2), (1, 0, 1), (1, 1, 0), (1, 2, 2)]
+    found = {r["sample"]: tuple(r)[1:] for r in nulls.null_summary(g, spark.createDataFrame(rows, "sample long, src long, dst long")).collect()}
+    assert found == {0: (3, 0, 0, 0, 3), 1: (3, 1, 1, 2, 1)}
+
+
+@pytest.mark.parametrize("block", [1 << 20, 40])
+def test_random_pairs_in_blocks(spark, monkeypatch, block):
+    monkeypatch.setattr(nulls, "EDGES_A_BLOCK", block)
+    n, p = 150, 0.05
+    found = samples(nulls.random_pairs(spark, n, p, 8, 3))
+    mean = n * (n - 1) / 2 * p
+    sizes = [len(e) for e in found.values()]
+    assert abs(np.mean(sizes) - mean) < 4 * mean**0.5 / 8**0.5
+    assert all(len(set(e)) == len(e) and all(0 <= a < b < n for a, b in e) for e in found.values())
+    ends = np.concatenate([np.array(e).ravel() for e in found.values()])
+    assert np.bincount(ends // 50).min() > 0.85 * len(ends) / 3
+    full = samples(nulls.random_pairs(spark, 12, 1.0, 2, 3))
+    assert all(sorted(e) == [(a, b) for a in range(12) for b in range(a + 1, 12)] for e in full.values())
+    assert samples(nulls.random_pairs(spark, 12, 0.0, 2, 3)) == {}
