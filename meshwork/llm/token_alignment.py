@@ -45,7 +45,7 @@ MAX_FILE_BYTES = 16 << 20
 #: Pairs of ids that can be linked, at most; two public vocabularies have a few hundred thousand.
 MAX_PAIRS = 4_000_000
 #: Bytes of texts whose distinct pieces are encoded together.
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 2 << 20
 LINKS = "doc_id long, n_a long, n_b long, n_groups long, groups_sha256 string, links array<int>"
 _UNSURE_BEFORE = np.zeros(256, dtype=bool)
 _UNSURE_BEFORE[[*range(0x80, 0x8B), 0x9F, 0xA0, 0xA8, 0xA9, 0xAF, *range(0x1C, 0x20)]] = True
