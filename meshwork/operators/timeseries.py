@@ -3,11 +3,18 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from itertools import product
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from meshwork.errors import ValidationError
+from meshwork.plans.fixpoint import discard, materialised
+
+#: A series of so many vectors at most is searched as a whole: its pairs are bounded.
+SHORT = 128
+
 
 def hvg_edges(series: DataFrame) -> DataFrame:
     """(id, i, j), i < j: every value between is below both ends.
@@ -75,15 +82,92 @@ def ordinal_patterns(series: DataFrame, m: int) -> DataFrame:
     return own.select("id", "t", F.array_join(F.transform(places, lambda s: s["i"].cast("string")), "").alias("symbol"))
 
 
-def recurrence_knn(series: DataFrame, m: int = 2, tau: int = 1, k: int = 3) -> DataFrame:
-    """(id, i, j, rank, distance): each delay vector's k nearest in its series, ties to the smaller time."""
+def delay_vectors(series: DataFrame, m: int = 2, tau: int = 1) -> DataFrame:
+    """(id, t, x0, ... of m values tau apart, x0 the value at t); points that lack one, or have one that isn't finite, have no vector."""
     order = Window.partitionBy("id").orderBy("t")
-    own = series.select("id", "t", *[F.lag("value", tau * d).over(order).alias(f"x{d}") for d in range(m)]).filter(F.col(f"x{m - 1}").isNotNull())
-    a, b = own.alias("a"), own.alias("b")
-    squared = sum(((F.col(f"a.x{d}") - F.col(f"b.x{d}")) ** 2 for d in range(m)), F.lit(0.0))
-    pairs = a.join(b, (F.col("a.id") == F.col("b.id")) & (F.col("a.t") != F.col("b.t"))).select(F.col("a.id").alias("id"), F.col("a.t").alias("i"), F.col("b.t").alias("j"), F.sqrt(squared).alias("distance"))
+    own = series.select("id", "t", *[F.lag("value", tau * d).over(order).cast("double").alias(f"x{d}") for d in range(m)])
+    return own.filter(" AND ".join(f"abs(x{d}) < double('Infinity')" for d in range(m)))
+
+
+def _distance(metric: str, m: int) -> Column:
+    """Between the vectors x0, x1, ... and y0, y1, ..."""
+    apart = [F.abs(F.col(f"x{d}") - F.col(f"y{d}")) for d in range(m)]
+    if metric == "euclidean":
+        return F.sqrt(sum((a * a for a in apart), F.lit(0.0)))
+    if metric == "manhattan":
+        return sum(apart, F.lit(0.0))
+    if metric == "maximum":
+        return F.greatest(*apart) if m > 1 else apart[0]
+    raise ValidationError(f"{metric} is no metric: euclidean, manhattan and maximum are")
+
+
+def _cells(width: Column, m: int, name: str) -> list[Column]:
+    """Grid cells of at most three of the vectors' values, a little wider than ``width`` so that rounding can't part two that are nearer."""
+    return [F.floor(F.col(f"{name}{d}") / (width * (1 + 2.0**-20))).alias(f"c{d}") for d in range(min(m, 3))]
+
+
+def _beside(m: int, half: bool) -> Column:
+    """The steps to a cell's neighbours and itself, one row each; of two opposite steps only one where ``half``."""
+    steps = [c for c in product((-1, 0, 1), repeat=min(m, 3)) if not half or c >= (0,) * len(c)]
+    return F.explode(F.array(*[F.struct(*[F.lit(x).alias(f"s{d}") for d, x in enumerate(c)]) for c in steps])).alias("step")
+
+
+def recurrence_radius(series: DataFrame, radius: float, m: int = 2, tau: int = 1, metric: str = "euclidean") -> DataFrame:
+    """(id, i, j, distance), i < j: the delay vectors of a series that are less than ``radius`` apart; metrics are euclidean, manhattan, maximum.
+
+    A grid of cells as wide as the radius turns the search into an equi-join of a cell with half of its neighbours, so vectors
+    meet only those of the cells beside them.
+    """
+    if not radius > 0:
+        raise ValidationError("a radius is above zero")
+    grid = range(min(m, 3))
+    own = materialised(delay_vectors(series, m, tau).select("*", *_cells(F.lit(float(radius)), m, "x")))
+    left = own.select("*", _beside(m, True))
+    left = left.select("id", F.col("t").alias("i"), *[f"x{d}" for d in range(m)], *[(F.col(f"c{d}") + F.col(f"step.s{d}")).alias(f"c{d}") for d in grid], F.expr(" AND ".join(f"step.s{d} = 0" for d in grid)).alias("inside"))
+    right = own.select("id", F.col("t").alias("j"), *[F.col(f"x{d}").alias(f"y{d}") for d in range(m)], *[f"c{d}" for d in grid])
+    pairs = left.join(right, ["id", *[f"c{d}" for d in grid]]).filter("NOT inside OR i < j").withColumn("distance", _distance(metric, m)).filter(F.col("distance") < radius)
+    return pairs.select("id", F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"), "distance")
+
+
+def recurrence_knn(series: DataFrame, m: int = 2, tau: int = 1, k: int = 3, metric: str = "euclidean") -> DataFrame:
+    """(id, i, j, rank, distance): each delay vector's k nearest in its series, ties to the smaller time.
+
+    Vectors look for neighbours in the cells beside their own, of a grid that is as fine as their series is dense; those whose k-th is
+    not nearer than a cell's width look again in one twice as coarse. Of equal vectors only the k + 1 earliest can be found, so a
+    value that a series repeats does not make all pairs. A series of at most ``SHORT`` vectors is one cell at once.
+    """
+    grid = range(min(m, 3))
+    own = materialised(delay_vectors(series, m, tau))
+    equal = Window.partitionBy("id", *[f"x{d}" for d in range(m)]).orderBy("t")
+    first = own.withColumn("r", F.row_number().over(equal)).filter(F.col("r") <= k + 1).drop("r")
+    spread = F.greatest(*[F.max(f"x{d}") - F.min(f"x{d}") for d in range(m)], F.lit(0.0))
+    sizes = own.groupBy("id").agg(F.count("*").alias("n"), spread.alias("spread"))
+    dense = F.col("spread") * F.pow(2.0 * (k + 1) / F.col("n"), F.lit(1.0 / m))
+    sizes = materialised(sizes.select("id", F.when((F.col("n") <= SHORT) | (F.col("spread") == 0), 2 * F.col("spread") + 1).otherwise(dense).alias("width"), "spread"))
+    first = materialised(first.join(sizes, "id").select("id", F.col("t").alias("j"), *[F.col(f"x{d}").alias(f"y{d}") for d in range(m)], "width", "spread"))
+    left = materialised(own.join(sizes, "id"))
+    discard(own)
     nearest = Window.partitionBy("id", "i").orderBy("distance", "j")
-    return pairs.withColumn("rank", F.row_number().over(nearest)).filter(F.col("rank") <= k)
+    each = Window.partitionBy("id", "i")
+    found: DataFrame | None = None
+    scale = 1.0
+    while True:
+        at = left.select("id", F.col("t").alias("i"), *[f"x{d}" for d in range(m)], *_cells(F.col("width") * scale, m, "x"), _beside(m, False))
+        at = at.select("id", "i", *[f"x{d}" for d in range(m)], *[(F.col(f"c{d}") + F.col(f"step.s{d}")).alias(f"c{d}") for d in grid])
+        near = first.select("*", *_cells(F.col("width") * scale, m, "y"))
+        pairs = at.join(near, ["id", *[f"c{d}" for d in grid]]).filter("i <> j").withColumn("distance", _distance(metric, m))
+        best = pairs.withColumn("rank", F.row_number().over(nearest)).filter(F.col("rank") <= k)
+        whole = F.col("width") * scale > F.col("spread")
+        settled = whole | ((F.count("*").over(each) == k) & (F.max("distance").over(each) < F.col("width") * scale))
+        part = materialised(best.select("id", "i", "j", "rank", "distance", settled.alias("settled")))
+        rows = part.filter("settled").drop("settled")
+        found = rows if found is None else found.union(rows)
+        # a vector that found none is alone in its series once the grid is one cell
+        after = materialised(left.filter(~whole).join(rows.select("id", F.col("i").alias("t")).distinct(), ["id", "t"], "left_anti"))
+        discard(left)
+        left, scale = after, 2 * scale
+        if left.isEmpty():
+            return found
 
 
 def sliding_windows(series: DataFrame, size: int, step: int) -> DataFrame:

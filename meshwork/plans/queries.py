@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meshwork.operators import community, components, degree, nulls, pagerank, paths, timeseries, triangles
+from meshwork.operators import centrality, community, components, degree, nulls, pagerank, paths, timeseries, triangles
 from meshwork.sources import projections as on
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -222,6 +222,45 @@ def _(spark, d):
     return rounded(paths.closeness(on.copurchase(spark, d)), "centrality")
 
 
+# forwards path counts by level, backwards dependencies from the deepest level on
+@query(
+    "betweenness_suppliers",
+    f"""WITH RECURSIVE {PARTS}, s AS (SELECT DISTINCT src, dst FROM (SELECT src, dst FROM g UNION ALL SELECT dst, src FROM g)), f AS (SELECT DISTINCT s_suppkey + (SELECT n FROM p) AS node FROM supplier),
+b(root, node, dist, paths) USING KEY (root, node) AS (SELECT node, node, 0::BIGINT, 1::DOUBLE FROM f UNION SELECT b.root, s.dst, min(b.dist) + 1, sum(b.paths) FROM b JOIN s ON s.src = b.node LEFT JOIN recurring.b AS o ON o.root = b.root AND o.node = s.dst WHERE o.node IS NULL GROUP BY b.root, s.dst),
+r AS (SELECT root, node, dist, paths FROM b),
+d(level, root, node, part, dep) AS (SELECT dist, root, node, 1 / paths, 0::DOUBLE FROM r WHERE dist = (SELECT max(dist) FROM r) UNION ALL
+SELECT l.level - 1, v.root, v.node, (1 + v.paths * coalesce(sum(x.part), 0)) / v.paths, v.paths * coalesce(sum(x.part), 0) FROM (SELECT DISTINCT level FROM d) l JOIN r v ON v.dist = l.level - 1
+LEFT JOIN (SELECT d.root, s.src AS node, d.part FROM d JOIN s ON s.dst = d.node) x ON x.root = v.root AND x.node = v.node GROUP BY l.level, v.root, v.node, v.paths),
+t AS (SELECT node, sum(dep) / 2 AS c FROM d WHERE root <> node GROUP BY node)
+SELECT v.node, round(coalesce(t.c, 0), 6) AS centrality FROM v LEFT JOIN t ON v.node = t.node""",
+)
+def _(spark, d):
+    suppliers = on.table(spark, d, "supplier").select((F.col("s_suppkey") + on.n_parts(spark, d)).alias("node"))
+    return rounded(centrality.betweenness(on.part_supplier(spark, d), suppliers), "centrality", digits=6)
+
+
+@query(
+    "eigenvector_10",
+    f"""WITH RECURSIVE {CO}, a AS (SELECT src, dst FROM s UNION ALL SELECT node, node FROM v),
+r(i, node, x) AS (SELECT 0, node, 1 / sqrt((SELECT count(*) FROM v)) FROM v UNION ALL SELECT i + 1, node, y / sqrt(sum(y * y) OVER ()) FROM (SELECT r.i AS i, a.dst AS node, sum(r.x) AS y FROM r JOIN a ON a.src = r.node WHERE r.i < 10 GROUP BY r.i, a.dst))
+SELECT node, round(x, 9) AS centrality FROM r WHERE i = 10""",
+)
+def _(spark, d):
+    return rounded(centrality.eigenvector(on.copurchase(spark, d), tol=None, max_iter=10), "centrality")
+
+
+@query(
+    "cheapest_from_first",
+    f"""WITH RECURSIVE p AS (SELECT max(p_partkey) + 1 AS n FROM part), q AS (SELECT max(s_suppkey) + 1 AS n FROM supplier), g AS (SELECT l_partkey AS src, l_suppkey + (SELECT n FROM p) AS dst, l_extendedprice AS w FROM lineitem),
+v AS (SELECT range AS node FROM range((SELECT p.n + q.n FROM p, q))), a AS (SELECT src, dst, min(w) AS w FROM (SELECT src, dst, w FROM g UNION ALL SELECT dst, src, w FROM g UNION ALL SELECT node, node, 0 FROM v) GROUP BY src, dst),
+r(i, node, d) AS (SELECT 0, min(src), 0::DOUBLE FROM g UNION ALL SELECT r.i + 1, a.dst, min(r.d + a.w) FROM r JOIN a ON a.src = r.node WHERE r.i < {ROUNDS} GROUP BY r.i, a.dst)
+SELECT v.node, round(coalesce(r.d, 'infinity'::DOUBLE), 4) AS distance FROM v LEFT JOIN (SELECT * FROM r WHERE i = {ROUNDS}) r ON v.node = r.node""",
+)
+def _(spark, d):
+    graph = on.supply_costs(spark, d)
+    return rounded(paths.weighted_paths(graph, _first(graph)), "distance", digits=4)
+
+
 _ROOTS = f"WITH RECURSIVE {CO}, b(node, root) AS (SELECT node, node FROM v UNION SELECT s.dst, b.root FROM b JOIN s ON s.src = b.node WHERE b.root < s.dst), m AS (SELECT node, min(root) AS root FROM b GROUP BY node)"
 
 
@@ -292,6 +331,22 @@ def _(spark, d):
     return nulls.null_models(on.copurchase(spark, d), "degree_preserving", 5, 7)
 
 
+@query("null_swap_summary", f"WITH {CO} SELECT range AS sample, (SELECT count(*) FROM g) AS n_edges, 0::BIGINT AS n_loops, 0::BIGINT AS n_parallel, 0::BIGINT AS n_moved_degrees, true AS mixed FROM range(3)")
+def _(spark, d):
+    graph = on.copurchase(spark, d).stored()
+    found = nulls.null_summary(graph, nulls.null_models(graph, "degree_preserving", 3, 7))
+    return found.select("sample", "n_edges", "n_loops", "n_parallel", "n_moved_degrees", (F.col("n_kept") < 0.5 * F.col("n_edges")).alias("mixed"))
+
+
+@query("null_er_summary", f"WITH {CO}, m AS (SELECT count(*) AS m FROM g) SELECT range AS sample, 0::BIGINT AS n_loops, 0::BIGINT AS n_parallel, true AS as_dense FROM range(5)")
+def _(spark, d):
+    graph = on.copurchase(spark, d).stored()
+    m = graph.n_edges()
+    found = nulls.null_summary(graph, nulls.null_models(graph, "erdos_renyi", 5, 7))
+    # six standard deviations of the number of edges
+    return found.select("sample", "n_loops", "n_parallel", (F.abs(F.col("n_edges") - m) < 6 * F.sqrt(F.lit(float(m)))).alias("as_dense"))
+
+
 @query("permutation_test")
 def _(spark, d):
     def edges_to_lower_half(edges):
@@ -346,6 +401,21 @@ def _(spark, d):
     return rounded(timeseries.recurrence_knn(on.event_series(spark, d)), "distance")
 
 
+def _radius(metric: str, distance: str):
+    @query(
+        f"recurrence_radius_{metric}",
+        f"""WITH {SERIES}, x AS (SELECT id, t, value AS a, lag(value) OVER (PARTITION BY id ORDER BY t) AS b FROM e), y AS (SELECT * FROM x WHERE b IS NOT NULL),
+p AS (SELECT m.id, m.t AS i, n.t AS j, {distance} AS s FROM y m JOIN y n ON m.id = n.id AND m.t < n.t) SELECT id, i, j, round(s, 9) AS distance FROM p WHERE s < 20""",
+    )
+    def _(spark, d):
+        return rounded(timeseries.recurrence_radius(on.event_series(spark, d), 20.0, metric=metric), "distance")
+
+
+_radius("euclidean", "sqrt((m.a - n.a) * (m.a - n.a) + (m.b - n.b) * (m.b - n.b))")
+_radius("manhattan", "abs(m.a - n.a) + abs(m.b - n.b)")
+_radius("maximum", "greatest(abs(m.a - n.a), abs(m.b - n.b))")
+
+
 @query("series_resample", "SELECT user_id AS id, date_trunc('day', ts) AS t, round(avg(value), 9) AS value FROM events GROUP BY ALL")
 def _(spark, d):
     from meshwork.sources.edges import resample
