@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 from itertools import product
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -12,47 +13,79 @@ from pyspark.sql import functions as F
 from meshwork.errors import ValidationError
 from meshwork.plans.fixpoint import discard, materialised
 
+#: Points of a block of horizontal visibility, and blocks below a node of its tree.
+FAN = 64
+#: Points of a stretch whose natural visibility one task works out.
+STRETCH = 4096
 #: A series of so many vectors at most is searched as a whole: its pairs are bounded.
 SHORT = 128
 
 
 def hvg_edges(series: DataFrame) -> DataFrame:
-    """(id, i, j), i < j: every value between is below both ends.
+    """(id, i, j), i < j: every value between is below both ends. Values are finite.
 
-    Rows are dealt by series and sorted by Spark; a task passes over all its series with one stack, which it empties
-    between two of them, so many short series cost no more than one long one.
+    An edge joins a point with the next that is as high at least, or with the last before that is higher. Blocks of ``FAN`` points answer for
+    themselves; the rest climb a tree of the blocks' maxima until a block beside their way is high enough, and go down in it, a join with
+    a level each. A series of any length is many rows in many tasks, and no row meets more than ``FAN`` values of a level.
     """
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        stack: list[tuple[int, float]] = []
-        last = None
-        for batch in batches:
-            ids, low, high = [], [], []
-            for s, t, x in zip(*(c.to_pylist() for c in batch.columns)):
-                if s != last:
-                    stack, last = [], s
-                while stack and stack[-1][1] < x:
-                    ids.append(s)
-                    low.append(stack.pop()[0])
-                    high.append(t)
-                if stack:
-                    ids.append(s)
-                    low.append(stack[-1][0])
-                    high.append(t)
-                    if stack[-1][1] == x:
-                        stack.pop()
-                stack.append((t, x))
-            yield pa.record_batch([pa.array(v, pa.int64()) for v in (ids, low, high)], names=["id", "i", "j"])
-
-    own = series.select(F.col("id").cast("long").alias("id"), F.col("t").cast("long").alias("t"), F.col("value").cast("double").alias("value"))
-    return own.repartition("id").sortWithinPartitions("id", "t").mapInArrow(run, "id long, i long, j long")
-
-
-def nvg_edges(series: DataFrame, limit: int) -> DataFrame:
-    """(id, i, j): no value between lies above the chord, and j <= i + limit.
-
-    The bounded range join is an equi-join on blocks of ``limit`` points; a running maximum of slopes decides.
+    own = series.select("id", F.col("t").cast("long").alias("t"), F.col("value").cast("double").alias("value")).filter("value IS NOT NULL")
+    gathered = lambda df, at: df.groupBy("id", F.floor(F.col(at) / FAN).alias("node")).agg(F.sort_array(F.collect_list(F.struct(F.col(at).alias("t"), "value"))).alias("items"))
+    levels = [materialised(gathered(own, "t"))]
+    last = (own.agg(F.max("t")).first()[0] or 0) // FAN
+    while last:
+        last //= FAN
+        up = levels[-1].select("id", F.col("node").alias("at"), F.array_max(F.transform("items", lambda e: e["value"])).alias("value"))
+        levels.append(materialised(gathered(up, "at")))
+    inside = F.transform("items", lambda e: F.struct(e["t"].alias("t"), e["value"].alias("x"), _after("items", e["t"], e["value"]).alias("next"), _before("items", e["t"], e["value"]).alias("before")))
+    points = materialised(levels[0].select("id", "node", F.explode(inside).alias("p")).select("id", "node", "p.*"))
+    found = points.filter("next IS NOT NULL").select("id", F.col("t").alias("i"), F.col("next").alias("j"))
+    found = found.union(points.filter("before >= 0").select("id", "before", "t"))
+    for column, seek in (("next", _after), ("before", _before)):
+        far = _climbed(points.filter(F.col(column).isNull()).select("id", "node", "t", "x"), levels, seek)
+        found = found.union(far.select("id", F.least("t", "to").alias("i"), F.greatest("t", "to").alias("j")))
+    return found
+
+
+def _after(items, t: Column, x: Column) -> Column:
+    """The t of the first item after ``t`` that is as high as ``x``."""
+    return F.get(F.filter(items, lambda v: (v["t"] > t) & (v["value"] >= x)), F.lit(0))["t"]
+
+
+def _before(items, t: Column, x: Column) -> Column:
+    """The t of the last item before ``t`` that is higher than ``x``, if none between is as high: else that is the edge of another."""
+    last = F.try_element_at(F.filter(items, lambda v: (v["t"] < t) & (v["value"] >= x)), F.lit(-1))
+    return F.when(last["value"] > x, last["t"]).when(last["value"] == x, F.lit(-1))
+
+
+def _climbed(rows: DataFrame, levels: list[DataFrame], seek) -> DataFrame:
+    """(id, t, x, to) of the points (id, node, t, x) that have a partner outside their block; ``seek`` is :func:`_after` or :func:`_before`."""
+    first = seek is _after
+    start, end = F.lit(-1).cast("long"), F.lit((1 << 62)).cast("long")
+    hits: list[DataFrame] = []
+    for level in levels[1:]:
+        up = rows.withColumn("parent", F.floor(F.col("node") / FAN)).join(level.withColumnRenamed("node", "parent"), ["id", "parent"])
+        wide = F.filter("items", lambda v: ((v["t"] > F.col("node")) if first else (v["t"] < F.col("node"))) & (v["value"] >= F.col("x")))
+        one = F.get(wide, F.lit(0))["t"] if first else F.try_element_at(wide, F.lit(-1))["t"]
+        tried = materialised(up.select("id", "t", "x", "parent", one.alias("hit")))
+        hits.append(tried.filter("hit IS NOT NULL").select("id", "t", "x", F.col("hit").alias("node")))
+        rows = tried.filter("hit IS NULL").select("id", F.col("parent").alias("node"), "t", "x")
+    down: DataFrame | None = None
+    for level, own in zip(reversed(levels[:-1]), reversed(hits)):
+        down = own if down is None else down.union(own)
+        down = down.join(level, ["id", "node"]).select("id", "t", "x", seek("items", start if first else end, F.col("x")).alias("node"))
+    if down is None:
+        return rows.limit(0).select("id", "t", "x", F.col("node").alias("to"))
+    return down.filter("node >= 0").select("id", "t", "x", F.col("node").alias("to"))
+
+
+def nvg_edges(series: DataFrame, limit: int | None = None) -> DataFrame:
+    """(id, i, j): no value between lies above the chord, and j <= i + limit where one is given.
+
+    With a limit, a bounded range join: an equi-join on blocks of ``limit`` points; a running maximum of slopes decides. Without
+    one, series are divided at their maxima, see :func:`_divided`.
     """
+    if limit is None:
+        return _divided(series)
     own = series.select("id", "t", "value").withColumn("block", F.floor(F.col("t") / limit))
     left = own.select("id", F.col("t").alias("i"), F.col("value").alias("x"), F.explode(F.array("block", F.col("block") + 1)).alias("block"))
     right = own.select("id", F.col("t").alias("j"), F.col("value").alias("y"), "block")
@@ -62,6 +95,88 @@ def nvg_edges(series: DataFrame, limit: int) -> DataFrame:
     return pairs.withColumn("steepest", F.max("slope").over(before)).filter("steepest IS NULL OR slope >= steepest").select("id", "i", "j")
 
 
+def _divided(series: DataFrame, most_rounds: int = 64) -> DataFrame:
+    """(id, i, j) of all natural visibility: nobody sees across the first maximum of a stretch, so its own view is taken and the stretch falls in two.
+
+    A round takes the views of all long stretches' maxima: slopes away from the maximum and their running maximum, which goes over
+    blocks of ``STRETCH`` points and then over the blocks, so that one long series is shared by tasks. Stretches of at most
+    ``STRETCH`` points are finished where they lie. A series that rises or falls all along hardly falls apart; what is left of such after
+    ``most_rounds`` is compared pair by pair in the limited form's blocks.
+    """
+    long = materialised(series.select("id", F.col("t").cast("long").alias("t"), F.col("value").cast("double").alias("value"), F.lit(0).cast("long").alias("stretch")))
+    found: DataFrame | None = None
+    whole = Window.partitionBy("id", "stretch")
+    for _ in range(most_rounds):
+        tops = long.groupBy("id", "stretch").agg(F.count("*").alias("n"), F.max(F.struct("value", (-F.col("t")).alias("back"))).alias("top"))
+        tops = materialised(tops.select("id", "stretch", "n", F.col("top.value").alias("high"), (-F.col("top.back")).alias("at")))
+        small = materialised(long.join(tops.filter(F.col("n") <= STRETCH).select("id", "stretch"), ["id", "stretch"], "left_semi"))
+        done = _viewed(small)
+        rows = long.join(tops.filter(F.col("n") > STRETCH), ["id", "stretch"])
+        away = F.abs(F.col("t") - F.col("at"))
+        rows = materialised(rows.select("id", "stretch", "t", "value", "at", (F.col("t") > F.col("at")).alias("right"), away.alias("away"), F.floor(away / STRETCH).alias("block"), ((F.col("value") - F.col("high")) / F.nullif(away, F.lit(0).cast("long"))).alias("slope")))
+        keys = ["id", "stretch", "right", "block"]
+        seen = rows.filter("away > 0")
+        steps = seen.groupBy(*keys).agg(F.max("slope").alias("m")).withColumn("nearer", F.max("m").over(Window.partitionBy(*keys[:3]).orderBy("block").rowsBetween(Window.unboundedPreceding, -1))).drop("m")
+        near = F.max("slope").over(Window.partitionBy(*keys).orderBy("away").rowsBetween(Window.unboundedPreceding, -1))
+        clear = F.coalesce(F.col("slope") >= F.greatest("near", "nearer"), F.lit(True))
+        view = seen.withColumn("near", near).join(steps, keys).filter(clear).select("id", F.least("t", "at").alias("i"), F.greatest("t", "at").alias("j"))
+        part = materialised(done.union(view))
+        found = part if found is None else found.union(part)
+        after = materialised(seen.select("id", "t", "value", F.when(F.col("right"), F.col("at") + 1).otherwise(F.col("stretch")).alias("stretch")))
+        for table in (long, tops, small, rows):
+            discard(table)
+        long = after
+        if long.isEmpty():
+            return found
+    # stretches keep apart: their numbers become ids
+    span = long.withColumn("n", F.max("t").over(whole) - F.min("t").over(whole) + 1).agg(F.max("n")).first()[0]
+    rest = nvg_edges(long.select(F.struct("id", "stretch").alias("id"), "t", "value"), int(span))
+    return found.union(rest.select("id.id", "i", "j"))
+
+
+def _viewed(stretches: DataFrame) -> DataFrame:
+    """(id, i, j) inside stretches (id, stretch, t, value) of at most ``STRETCH`` points."""
+
+    def views(t: np.ndarray, y: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        parts = [(0, len(t))]
+        while parts:
+            low, high = parts.pop()
+            if high - low < 2:
+                continue
+            at = low + int(y[low:high].argmax())
+            for own in (np.arange(at + 1, high), np.arange(at - 1, low - 1, -1)):
+                slope = (y[own] - y[at]) / np.abs(t[own] - t[at])
+                clear = own[slope >= np.concatenate([[-np.inf], np.maximum.accumulate(slope)[:-1]])[: len(own)]]
+                yield np.minimum(t[clear], t[at]), np.maximum(t[clear], t[at])
+            parts += [(low, at), (at + 1, high)]
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: pa.Table | None = None
+
+        def of(rows: pa.Table, bounds: list[int]) -> Iterator[pa.RecordBatch]:
+            t, y = rows.column("t").to_numpy(), rows.column("value").to_numpy()
+            for low, high in zip(bounds, bounds[1:]):
+                ends = list(views(t[low:high], y[low:high]))
+                if ends:
+                    i, j = (np.concatenate(x) for x in zip(*ends))
+                    yield pa.record_batch({"id": rows.column("id").slice(low, 1).combine_chunks().take(pa.array(np.zeros(len(i), dtype=np.int64))), "i": pa.array(i), "j": pa.array(j)})
+
+        for batch in batches:
+            rows = pa.Table.from_batches([batch])
+            rows = rows if kept is None else pa.concat_tables([kept, rows])
+            key = rows.column("key").to_numpy()
+            cuts = [0, *(np.flatnonzero(key[1:] != key[:-1]) + 1).tolist()]
+            # the last stretch may go on in the next batch
+            yield from of(rows, cuts)
+            kept = rows.slice(cuts[-1])
+        if kept is not None:
+            yield from of(kept, [0, kept.num_rows])
+
+    kind = stretches.schema["id"].dataType.simpleString()
+    dealt = stretches.repartition("id", "stretch").sortWithinPartitions("id", "stretch", "t")
+    return dealt.withColumn("key", F.xxhash64("id", "stretch")).select("id", "key", "t", "value").mapInArrow(run, f"id {kind}, i long, j long")
+
+
 def visibility_degree(series: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, t, degree) for every point."""
     counted = edges.select("id", F.explode(F.array("i", "j")).alias("t")).groupBy("id", "t").agg(F.count("*").alias("degree"))
