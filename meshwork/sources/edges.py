@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import json
+from datetime import datetime
 from typing import Any
+from zoneinfo import ZoneInfo, ZoneInfoNotFoundError
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from meshwork.errors import ValidationError
@@ -61,6 +63,45 @@ def read_graph(spark: SparkSession, path: str) -> Graph:
     return Graph(spark.read.parquet(f"{path}/edges"), **meta)
 
 
+def read_series(
+    source: str | DataFrame, spark: SparkSession | None = None, id_col: str = "id", time_col: str = "ts", value_col: str = "value",
+    start: str | datetime | None = None, end: str | datetime | None = None, tz: str = "UTC", ids: list | None = None, unit: str | None = None, how: str = "mean",
+) -> DataFrame:
+    """(id, t, ts, value): series of a Parquet path or a frame, from ``start`` on and before ``end``, t = 0, 1, ... in order of time.
+
+    Bounds without a time zone are in ``tz``. They and ``ids`` are compared with the stored columns themselves, so the scan skips what
+    lies outside. With ``unit`` values are first aggregated by that calendar unit of ``tz``, see :func:`resample`. Rows
+    with a null in any of the three columns are left out; of equal times the smaller value comes first.
+    """
+    if isinstance(source, str):
+        if spark is None:
+            raise ValidationError("a path needs a session")
+        source = spark.read.parquet(source)
+    try:
+        zone = ZoneInfo(tz)
+        bounds = [None if x is None else x if isinstance(x, datetime) else datetime.fromisoformat(x) for x in (start, end)]
+    except (ZoneInfoNotFoundError, ValueError) as e:
+        raise ValidationError(f"no time: {e}") from e
+    low, high = [None if x is None else x if x.tzinfo else x.replace(tzinfo=zone) for x in bounds]
+    if low and high and low >= high:
+        raise ValidationError("a range starts before it ends")
+    rows = source.filter(F.col(id_col).isNotNull() & F.col(time_col).isNotNull() & F.col(value_col).isNotNull())
+    # whole seconds and microseconds of the instant: a literal of a local time would depend on the session's zone
+    instant = lambda x: F.timestamp_micros(F.lit(int(x.timestamp()) * 1_000_000 + x.microsecond))
+    if low:
+        rows = rows.filter(F.col(time_col) >= instant(low))
+    if high:
+        rows = rows.filter(F.col(time_col) < instant(high))
+    if ids is not None:
+        rows = rows.filter(F.col(id_col).isin(ids))
+    rows = rows.select(F.col(id_col).alias("id"), F.col(time_col).alias("ts"), F.col(value_col).cast("double").alias("value"))
+    if unit:
+        local = rows.withColumn("ts", F.convert_timezone(F.lit(rows.sparkSession.conf.get("spark.sql.session.timeZone")), F.lit(tz), F.col("ts").cast("timestamp_ntz")))
+        rows = resample(local, unit, how).withColumnRenamed("t", "ts")
+    order = Window.partitionBy("id").orderBy("ts", "value")
+    return rows.select("id", (F.row_number().over(order) - 1).cast("long").alias("t"), "ts", "value")
+
+
 def resample(df: DataFrame, unit: str, how: str = "mean") -> DataFrame:
     """(id, t, value): a series table (id, ts, value) by calendar unit; how is mean, sum, max or min."""
     if how not in ("mean", "sum", "max", "min"):
