@@ -296,6 +296,13 @@ def _(spark, d):
     return community.label_propagation(on.copurchase(spark, d), 8)
 
 
+# which labels win depends on hashes; that each is among the heaviest around its node does not
+@query("label_propagation_settled", f"WITH {PARTS} SELECT count(*) AS n_nodes, 0::BIGINT AS n_unsettled FROM v")
+def _(spark, d):
+    graph = on.part_supplier(spark, d).stored()
+    return community.unsettled(graph, community.semi_synchronous_labels(graph))
+
+
 @query("louvain")
 def _(spark, d):
     return community.louvain(on.trade(spark, d))
