@@ -31,6 +31,7 @@ BASE = 0x9E3779B97F4A7C15
 BASE_INVERSE = pow(BASE, -1, 1 << 64)
 #: Words of more bytes are hashed one by one.
 LONG_WORD = 256
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -72,6 +73,17 @@ def shuffles_freed(spark: SparkSession):
         spark.conf.unset(FREE_SHUFFLES) if before is None else spark.conf.set(FREE_SHUFFLES, before)
 
 
+@contextmanager
+def batches_of(spark: SparkSession, rows: int):
+    """Python workers get Arrow batches of so many rows in the jobs that run in here: whole batches lie in memory beside the heap."""
+    before = spark.conf.get(BATCH_ROWS)
+    spark.conf.set(BATCH_ROWS, rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(BATCH_ROWS, before)
+
+
 def stored(df: DataFrame) -> Stored:
     """Write ``df`` as Parquet to the shared folder and read it back."""
     spark = df.sparkSession

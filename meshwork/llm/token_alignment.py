@@ -35,7 +35,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE, Block, stored, table, text_blocks
+from .common import SPACE, Block, batches_of, stored, table, text_blocks
 from .token_counts import PATTERN
 
 FOLDER = os.environ.get("MESHWORK_TOKENIZERS", "/opt/tokenizers")
@@ -46,6 +46,8 @@ MAX_FILE_BYTES = 16 << 20
 MAX_PAIRS = 4_000_000
 #: Bytes of texts whose distinct pieces are encoded together.
 BLOCK_BYTES = 2 << 20
+#: Texts of an Arrow batch.
+TEXTS_A_BATCH = 1_000
 LINKS = "doc_id long, n_a long, n_b long, n_groups long, groups_sha256 string, links array<int>"
 _UNSURE_BEFORE = np.zeros(256, dtype=bool)
 _UNSURE_BEFORE[[*range(0x80, 0x8B), 0x9F, 0xA0, 0xA8, 0xA9, 0xAF, *range(0x1C, 0x20)]] = True
@@ -324,7 +326,8 @@ def alignment_scores(docs: DataFrame, files: Files | None = None) -> DataFrame:
     context = docs.sparkSession.sparkContext
     files = files or read_files()
     pairs = linkable(tokenizers(files))
-    links = stored(linked(docs, files)).df
+    with batches_of(docs.sparkSession, TEXTS_A_BATCH):
+        links = stored(linked(docs, files)).df
     counts = np.zeros(len(pairs), dtype=np.int64)
     for r in pair_counts(links, len(pairs)).collect():
         counts[r["pair"]] = r["n"]
