@@ -285,6 +285,37 @@ def recurrence_knn(series: DataFrame, m: int = 2, tau: int = 1, k: int = 3, metr
             return found
 
 
+def decompose(series: DataFrame, period: int) -> DataFrame:
+    """(id, t, value, trend, seasonal, residual): the classical additive decomposition, whose residual goes on to the networks.
+
+    The trend is the moving average over one period around a point (of an even period, with half weight at both ends), null where that
+    leaves the series; the season is the mean of what lies off the trend at the same place of the period, less the mean of
+    these; value = trend + seasonal + residual. Points are t = 0, 1, ... without gaps; the season is null at places
+    that no trend covers. Windows reach over one period, so the moving average is a join of blocks of points, not a task for a series.
+    """
+    if period < 2:
+        raise ValidationError("a period has two points or more")
+    half = period // 2
+    own = series.select("id", F.col("t").cast("long").alias("t"), F.col("value").cast("double").alias("value"))
+    block = max(period, 1 << 12)
+    # a block's rows and the half period of rows beside it, which only lend their values
+    at = F.floor(F.col("t") / block)
+    near = F.array_distinct(F.array(at, F.floor((F.col("t") - half) / block), F.floor((F.col("t") + half) / block)))
+    dealt = own.select("*", at.alias("home"), F.explode(near).alias("block"))
+    order = Window.partitionBy("id", "block").orderBy("t")
+    around = order.rowsBetween(-half, half)
+    ends = 0.5 * (F.lag("value", half).over(order) + F.lead("value", half).over(order)) if period % 2 == 0 else F.lit(0.0)
+    inner = F.sum("value").over(order.rowsBetween(-half + 1, half - 1)) if period % 2 == 0 else F.sum("value").over(around)
+    full = F.count("value").over(around) == 2 * half + 1
+    trended = dealt.withColumn("trend", F.when(full, (inner + ends) / period)).filter("home = block").select("id", "t", "value", "trend")
+    trended = materialised(trended)
+    phase = F.pmod("t", F.lit(period))
+    off = trended.filter("trend IS NOT NULL").groupBy("id", phase.alias("phase")).agg(F.avg(F.col("value") - F.col("trend")).alias("off"))
+    off = off.withColumn("seasonal", F.col("off") - F.avg("off").over(Window.partitionBy("id"))).drop("off")
+    found = trended.withColumn("phase", phase).join(off, ["id", "phase"], "left")
+    return found.select("id", "t", "value", "trend", "seasonal", (F.col("value") - F.col("trend") - F.col("seasonal")).alias("residual"))
+
+
 def sliding_windows(series: DataFrame, size: int, step: int) -> DataFrame:
     """(id, start, t, value): windows of ``size`` points, without those whose values are all equal."""
     bounds = series.groupBy("id").agg(F.max("t").alias("last")).filter(F.col("last") >= size - 1)

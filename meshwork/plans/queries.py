@@ -442,6 +442,17 @@ def _(spark, d):
     return rounded(resample(rows, "day"), "value")
 
 
+@query(
+    "series_decomposed",
+    f"""WITH {SERIES}, x AS (SELECT *, count(value) OVER w AS n, sum(value) OVER (PARTITION BY id ORDER BY t ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) + 0.5 * (lag(value, 3) OVER (PARTITION BY id ORDER BY t) + lead(value, 3) OVER (PARTITION BY id ORDER BY t)) AS s FROM e WINDOW w AS (PARTITION BY id ORDER BY t ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING)),
+y AS (SELECT id, t, value, t % 6 AS phase, CASE WHEN n = 7 THEN s / 6 END AS trend FROM x), o AS (SELECT id, phase, avg(value - trend) AS o FROM y WHERE trend IS NOT NULL GROUP BY id, phase),
+z AS (SELECT id, phase, o - avg(o) OVER (PARTITION BY id) AS seasonal FROM o)
+SELECT y.id, y.t, round(trend, 9) AS trend, round(seasonal, 9) AS seasonal, round(value - trend - seasonal, 9) AS residual FROM y LEFT JOIN z ON y.id = z.id AND y.phase = z.phase""",
+)
+def _(spark, d):
+    return rounded(timeseries.decompose(on.event_series(spark, d), 6), "trend", "seasonal", "residual").drop("value")
+
+
 @query("sliding_windows", f"WITH {SERIES}, b AS (SELECT id, max(t) AS last FROM e GROUP BY id), w AS (SELECT id, unnest(range(0, CAST(last - 19 AS BIGINT) + 1, 10)) AS start FROM b WHERE last >= 19), x AS (SELECT w.id, w.start, e.t, e.value FROM w JOIN e ON e.id = w.id AND e.t >= w.start AND e.t < w.start + 20) SELECT id, start, count(*) AS n, round(avg(value), 9) AS mean FROM x GROUP BY id, start HAVING max(value) > min(value)")
 def _(spark, d):
     rows = timeseries.sliding_windows(on.event_series(spark, d), 20, 10)
