@@ -46,6 +46,8 @@ UNLABELLED_MASS = 0.1
 #: The label voter starts at this accuracy, and keeps it as a prior that weighs as much as so many documents.
 LABEL_ACCURACY, LABEL_PRIOR = 0.95, 20.0
 ROUNDS = 15
+#: Rows of the feature matrix that a sum takes at once.
+ROWS_AT_ONCE = 2048
 _WORDS = re.compile(r"[^\W\d_]+")
 #: Patterns that may or may not speak for toxicity; the label model weighs them.
 PATTERNS = {"shouting": re.compile(r"\b[A-Z]{4,}\b"), "exclaiming": re.compile(r"!{2,}"), "symbols": re.compile(r"[#$%&*@!]{3,}")}
@@ -125,7 +127,7 @@ def fit_label_model(votes: np.ndarray, labels: np.ndarray, rounds: int = ROUNDS)
 
     ``votes`` is 0/1, rows by voters (the way a voter leans shows in its two rates); ``labels`` is 0 or 1, -1 for none.
     """
-    votes = votes.astype(np.float32)
+    votes = np.asarray(votes, dtype=np.float32)
     n, m = votes.shape
     has = labels >= 0
     counts = np.where(has, 1.0, min(1.0, UNLABELLED_MASS * has.sum() / max(1, (~has).sum())))
@@ -145,11 +147,11 @@ def fit_label_model(votes: np.ndarray, labels: np.ndarray, rounds: int = ROUNDS)
             accuracy = (agreed + LABEL_PRIOR * LABEL_ACCURACY) / ((of * has).sum(axis=1) + LABEL_PRIOR)
         # correlation of voters given the class, from residuals around the class rates
         together = np.zeros((m, m))
-        spread = np.zeros(m)
         for c in (0, 1):
-            left = votes - rate[c].astype(np.float32)
-            together += left.T @ (left * of[c][:, None].astype(np.float32))
-            spread += (left**2 * of[c][:, None]).sum(axis=0)
+            for low in range(0, n, ROWS_AT_ONCE):
+                left = votes[low : low + ROWS_AT_ONCE] - rate[c].astype(np.float32)
+                together += left.T @ (left * of[c][low : low + ROWS_AT_ONCE, None].astype(np.float32))
+        spread = together.diagonal().copy()
         correlation = together / np.sqrt(np.outer(spread, spread) + 1e-9)
         np.fill_diagonal(correlation, 1.0)
         weight = 1 / np.maximum(correlation, 0).sum(axis=1)
@@ -162,15 +164,19 @@ def fit_label_model(votes: np.ndarray, labels: np.ndarray, rounds: int = ROUNDS)
 
 def fit_linear(features: np.ndarray, targets: np.ndarray, counts: np.ndarray | None = None, l2: float = 1.0, steps: int = 40) -> np.ndarray:
     """Logistic regression on soft targets by Newton steps; the last weight is the intercept."""
-    x = np.column_stack([features, np.ones(len(features), dtype=features.dtype)])
-    counts = np.ones(len(x)) if counts is None else counts
-    w = np.zeros(x.shape[1])
-    penalty = np.full(x.shape[1], l2)
+    counts = np.ones(len(features)) if counts is None else counts
+    w = np.zeros(features.shape[1] + 1)
+    penalty = np.full(len(w), l2)
     penalty[-1] = 1e-3
     for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        curve = (counts * (p * (1 - p) + 1e-6)).astype(x.dtype)
-        step = np.linalg.solve(((x * curve[:, None]).T @ x).astype(np.float64) + np.diag(penalty), x.T @ (counts * (targets - p)) - penalty * w)
+        slope, curve = -penalty * w, np.diag(penalty)
+        for low in range(0, len(features), ROWS_AT_ONCE):
+            part = slice(low, low + ROWS_AT_ONCE)
+            x = np.column_stack([features[part], np.ones(len(features[part]), dtype=features.dtype)])
+            p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+            slope += x.T @ (counts[part] * (targets[part] - p))
+            curve += (x * (counts[part] * (p * (1 - p) + 1e-6)).astype(x.dtype)[:, None]).T @ x
+        step = np.linalg.solve(curve, slope)
         w += step
         if np.abs(step).max() < 1e-6:
             break
@@ -205,13 +211,16 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, ma
         return Model(lexicon, weights, None)
     rows = sample.unionByName(unlabelled_sample(docs, labels, max_unlabelled)).mapInArrow(run, "hits array<int>, label int").collect()
     y = np.array([-1 if r["label"] is None else r["label"] for r in rows], dtype=np.int64)
-    x = np.zeros((len(rows), lexicon.size), dtype=np.float32)
+    words = np.array([e[-1] != "*" for e in lexicon.places])
+    groups = [g for g in (words, ~words, words | ~words) if g.any()]
+    # one matrix for both: entries and patterns, then voters that speak where a group of entries is silent
+    votes = np.zeros((len(rows), lexicon.size + len(groups)), dtype=np.float32)
     for k, r in enumerate(rows):
-        x[k, r["hits"]] = 1
-    words = [k for e, k in lexicon.places.items() if e[-1] != "*"]
-    starts = [k for e, k in lexicon.places.items() if e[-1] == "*"]
-    silent = [1 - x[:, part].max(axis=1) for part in (words, starts, words + starts) if part]
-    votes = np.column_stack([x, *silent])
+        votes[k, r["hits"]] = 1
+        entries = [h for h in r["hits"] if h < len(words)]
+        votes[k, lexicon.size :] = [not group[entries].any() for group in groups]
+    del rows
+    x = votes[:, : lexicon.size]
     label_model, posterior, counts = fit_label_model(votes, y)
     return Model(lexicon, fit_linear(x, posterior, counts), label_model)
 
