@@ -3,13 +3,16 @@
 import hashlib
 
 import pytest
+from tokenizers import Tokenizer
 
 import corpus_pipeline
-from meshwork.llm import pii, sentencepiece_nbest, token_counts
+from meshwork.llm import pii, sentencepiece_nbest, token_alignment, token_counts
 from meshwork.llm.registry import QUERIES
 from tests.llm.helpers import corpus, frame
 from tests.llm.test_simhash import brute as simhash_brute
+from tests.llm.test_spelling_variants import brute as spelling_brute, got as spelling_found
 from tests.llm.test_substring_dedup import brute as substring_brute
+from tests.llm.test_token_alignment import brute as alignment_brute
 
 ITEM = "an item of the benchmark with quite a few words that nobody else would ever put in this order at all"
 
@@ -41,6 +44,12 @@ def test_rows_equal_brute_force(spark, tables):
     for r in run("op7_substring_dedup"):
         digests.setdefault(r.doc_id, set()).add((r.n_words, r.n_removed, r.kept_sha256))
     assert digests == substring_brute(rows, 20)
+    assert spelling_found(QUERIES["op11_spelling_variants"](spark, f"{top}/full")) == spelling_brute(rows)
+    assert sorted((r.query_id, r["rank"], r.vec_id) for r in run("op12_one_bit_search")) == [(0, 1, 100), (0, 2, 200), (100, 1, 200), (100, 2, 0), (200, 1, 100), (200, 2, 0)]
+    own = token_alignment.tokenizers(token_alignment.read_files())
+    public = Tokenizer.from_file(token_alignment.VOCABULARY)
+    public.encode_special_tokens = True
+    assert sorted(map(tuple, run("op13_token_alignment")), key=repr) == alignment_brute(rows, own, public)
     encode = token_counts.encoder(token_counts.read_vocabulary(token_counts.VOCABULARY)).encode_ordinary
     sizes = [len(encode(t or "")) for _, t in rows]
     assert sorted((r.length, r.n_docs) for r in run("op9_token_counts")) == sorted((n, sizes.count(n)) for n in set(sizes))
