@@ -25,9 +25,14 @@ def unlabelled_sample(docs: DataFrame, labels: DataFrame, bound: int) -> DataFra
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, bound: int) -> DataFrame:
     """(text, label) of at most ``bound`` labelled ids that are not held out, chosen by a hash of the id; one row for each.
 
-    The ids are bounded, so they are broadcast to the texts. An id with several labels counts as 1 if any is; of several
+    The ids are bounded, so they are broadcast to the texts. Before they are put in order, all but about one and a half times the
+    bound go by their hashes, wherever they lie, so that the task that orders them gets few. An id with several labels counts as 1 if any is; of several
     texts of an id the least is taken, so repeated rows do not add to the sample.
     """
     own = labels.select("doc_id", F.col(label).cast("int").alias("label")).filter(f"doc_id IS NOT NULL AND label IS NOT NULL AND NOT ({HELD_OUT})")
+    n = own.agg(F.approx_count_distinct("doc_id")).first()[0]
+    # hashes are spread evenly from -2**63 on
+    if n > 1.5 * bound:
+        own = own.filter(F.xxhash64("doc_id") <= F.lit(int((1.5 * bound / n - 0.5) * 2**64)))
     own = own.groupBy("doc_id").agg(F.max("label").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound)
     return docs.select("doc_id", "text").join(F.broadcast(own), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text")).select("text", "label")

@@ -85,10 +85,8 @@ def line_features(block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     line_of = np.repeat(np.arange(len(low)), w_high - w_low)
     same = np.zeros(len(starts), dtype=bool)
     same[1:] = (hashes[1:] == hashes[:-1]) & (line_of[1:] == line_of[:-1])
-    keys = np.sort((line_of.astype(U64) << U64(40)) | (hashes >> U64(24)))
-    new = np.ones(len(keys), dtype=bool)
-    new[1:] = keys[1:] != keys[:-1]
-    distinct = np.bincount((keys[new] >> U64(40)).astype(np.int64), minlength=len(low)).astype(np.float64)
+    _, one = np.unique(hashes ^ mixed(line_of.astype(U64)), return_index=True)
+    distinct = np.bincount(line_of[one], minlength=len(low)).astype(np.float64)
     marks = (SYMBOLS | SEPARATORS)[data[ends - 1]] if len(ends) else np.zeros(0, dtype=bool)
     # lines that occur more than once in their text
     text_of = np.repeat(np.arange(n_texts), counts)

@@ -2,10 +2,13 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from meshwork.llm import quality_crf, toxicity
 from meshwork.llm.common import text_blocks
+from meshwork.llm.labelled import HELD_OUT, labelled_sample
 from tests.llm.helpers import corpus, frame
 
 
@@ -150,8 +153,18 @@ def test_forward_backward_equals_enumeration():
     assert np.allclose(marginal, want) and np.allclose(pairs, links) and np.isclose(log_z, total)
 
 
+def test_sample_is_that_of_least_hashes(spark):
+    """Dropping most ids by their hashes before they are put in order changes nothing."""
+    n = 4000
+    rows = frame(spark, [(i, f"t{i}") for i in range(n)])
+    marks = labels(spark, [(i, i % 2) for i in range(n)] + [(7, 1), (None, 1)], "toxic")
+    own = marks.filter(f"doc_id IS NOT NULL AND NOT ({HELD_OUT})").select("doc_id").distinct().orderBy(F.xxhash64("doc_id"))
+    for bound in (50, 500, n):
+        got = [r.text for r in labelled_sample(rows, marks, "toxic", bound).collect()]
+        assert sorted(got) == sorted(f"t{r.doc_id}" for r in own.limit(bound).collect())
+
+
 def test_line_features_by_hand():
-    import pyarrow as pa
 
     texts = ["ab ab c.\n\nX|1", "", None, "é é é\né é é\n"]
     batch = pa.record_batch([pa.array(texts)], names=["text"])
@@ -164,3 +177,11 @@ def test_line_features_by_hand():
     assert np.allclose(f["adjacent"], [1 / 3, 0, 0, 0, 0, 2 / 3, 2 / 3, 0])
     assert f["equal_lines"] == [0, 0, 0, 0, 0, 1, 1, 0]
     assert size.tolist() == [9, 1, 4, 1, 1, 9, 9, 1]
+
+
+def test_distinct_words_of_more_lines_than_two_to_the_24():
+    text = b"a a b\n" + b"\n" * (1 << 24) + b"c d c"
+    block = next(text_blocks(iter([pa.record_batch({"text": pa.array([text.decode()])})]), max_bytes=1 << 26))
+    raw, _, counts = quality_crf.line_features(block)
+    assert counts.tolist() == [(1 << 24) + 2]
+    assert np.allclose(raw[[0, 1, -1], 2], [2 / 3, 1, 2 / 3])
