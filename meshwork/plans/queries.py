@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meshwork.operators import centrality, community, components, degree, nulls, pagerank, paths, timeseries, triangles
+from meshwork.operators import centrality, community, components, degree, nulls, pagerank, paths, structural, timeseries, triangles
 from meshwork.sources import projections as on
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -453,6 +453,34 @@ def _(spark, d):
     return rounded(timeseries.decompose(on.event_series(spark, d), 6), "trend", "seasonal", "residual").drop("value")
 
 
+#: Filter and smoother of a level whose shocks have a tenth of the noise's variance.
+_FILTER = f"""WITH RECURSIVE {SERIES},
+f AS (SELECT id, t, 0.0::DOUBLE AS before, 1000000.1::DOUBLE AS p, value AS y, 1000000.1 / 1000001.1 * value AS m, (1000000.1 / 1000001.1)::DOUBLE AS k FROM e WHERE t = 0
+UNION ALL SELECT e.id, e.t, f.m, f.k + 0.1, e.value, f.m + (f.k + 0.1) / (f.k + 1.1) * (e.value - f.m), (f.k + 0.1) / (f.k + 1.1) FROM f JOIN e ON e.id = f.id AND e.t = f.t + 1)"""
+
+
+@query(
+    "series_structural",
+    f"""{_FILTER}, n AS (SELECT id, max(t) AS last FROM e GROUP BY id),
+b AS (SELECT f.id, f.t, f.y, f.m AS s, f.k AS v FROM f JOIN n ON f.id = n.id AND f.t = n.last
+UNION ALL SELECT f.id, f.t, f.y, f.m + f.k / (f.k + 0.1) * (b.s - f.m), f.k + (f.k / (f.k + 0.1)) * (f.k / (f.k + 0.1)) * (b.v - f.k - 0.1) FROM b JOIN f ON f.id = b.id AND f.t = b.t - 1)
+SELECT id, t, round(s, 4) AS level, round(v, 4) AS level_spread, round(y - s, 4) AS residual FROM b""",
+)
+def _(spark, d):
+    found = structural.structural(on.event_series(spark, d), level=0.1)
+    return rounded(found, "level", "level_spread", "residual", digits=4).select("id", "t", "level", "level_spread", "residual")
+
+
+@query(
+    "series_likelihoods",
+    f"""{_FILTER}, x AS (SELECT id, count(*) AS n, sum((y - before) * (y - before) / (p + 1)) AS q, sum(ln(p + 1)) AS l FROM f WHERE t > 0 GROUP BY id)
+SELECT id, n, round(q / n, 4) AS noise, CASE WHEN q > 0 THEN round(-0.5 * (n * (ln(2 * pi() * q / n) + 1) + l), 4) END AS log_likelihood FROM x""",
+)
+def _(spark, d):
+    found = structural.likelihoods(on.event_series(spark, d), level=0.1).filter("n > 0")
+    return rounded(found, "noise", "log_likelihood", digits=4)
+
+
 @query("sliding_windows", f"WITH {SERIES}, b AS (SELECT id, max(t) AS last FROM e GROUP BY id), w AS (SELECT id, unnest(range(0, CAST(last - 19 AS BIGINT) + 1, 10)) AS start FROM b WHERE last >= 19), x AS (SELECT w.id, w.start, e.t, e.value FROM w JOIN e ON e.id = w.id AND e.t >= w.start AND e.t < w.start + 20) SELECT id, start, count(*) AS n, round(avg(value), 9) AS mean FROM x GROUP BY id, start HAVING max(value) > min(value)")
 def _(spark, d):
     rows = timeseries.sliding_windows(on.event_series(spark, d), 20, 10)

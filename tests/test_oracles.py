@@ -11,7 +11,7 @@ from meshwork.plans.queries import ORACLES, QUERIES
 TABLES = "/root/testdata/sf0.001"
 NAMES = [
     "degree", "triangles", "average_clustering", "assortativity", "components", "core_number", "bfs_from_first", "cheapest_from_first", "betweenness_suppliers", "eigenvector_10",
-    "hvg_degree", "nvg_degree", "nvg_degree_limit", "recurrence_knn", "recurrence_radius_euclidean", "recurrence_radius_manhattan", "recurrence_radius_maximum", "null_swap_summary", "null_er_summary",
+    "hvg_degree", "nvg_degree", "nvg_degree_limit", "recurrence_knn", "recurrence_radius_euclidean", "recurrence_radius_manhattan", "recurrence_radius_maximum", "series_structural", "series_likelihoods", "null_swap_summary", "null_er_summary",
 ]
 
 
