@@ -27,3 +27,15 @@ def test_query_equals_its_sql(spark, name):
     assert sorted(want.columns) == names
     rows = sorted([tuple(r[c] for c in names) for r in found.collect()], key=repr)
     assert rows == sorted([tuple(r[want.columns.index(c)] for c in names) for r in want.fetchall()], key=repr)
+
+
+def test_core_numbers_of_a_long_path_equal_their_sql(spark, tmp_path):
+    """Values fall from a path's ends inwards: a path of 100 parts takes more rounds than a fixed 40."""
+    items = [(k, p) for k in range(99) for p in (k, k + 1)]
+    base = duckdb.connect()
+    for name, rows, schema in (("lineitem", items, "l_orderkey long, l_partkey long"), ("part", [(p,) for p in range(100)], "p_partkey long")):
+        spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+        base.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    want = base.execute(ORACLES["core_number"]).fetchall()
+    assert sorted(want) == sorted((r.node, r.core) for r in QUERIES["core_number"](spark, str(tmp_path)).collect())
+    assert {core for _, core in want} == {1}
