@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from meshwork.functions import ranking
 from meshwork.model import Graph
-from meshwork.operators import nulls, timeseries, triangles
+from meshwork.operators import nulls, paths, timeseries, triangles
 from meshwork.sources import projections
 
 
@@ -99,3 +99,34 @@ def test_sliding_windows_make_no_join_of_windows(spark):
         found = timeseries.sliding_windows(series, size, step)
         assert sorted(tuple(r) for r in found.collect()) == sorted(want)
         assert found._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1
+
+
+@pytest.mark.parametrize("directed", [False, True])
+@pytest.mark.parametrize("bounds", [{}, {"NODES_A_BLOCK": 50, "SOURCES_A_BATCH": 64, "STATE_BYTES": 2_500, "GATHERED_BYTES": 64}])
+def test_distances_by_batches_and_blocks_equal_searches_from_each_node(spark, monkeypatch, directed, bounds):
+    for name, value in bounds.items():
+        monkeypatch.setattr(paths, name, value, raising=False)
+    r = np.random.default_rng(11)
+    n = 140
+    edges = [(int(a), int(b)) for a, b in r.integers(0, 120, (360, 2))] + [(k, k + 1) for k in range(125, 129)] + [(3, 3), (0, 1), (0, 1)]
+    out = {k: set() for k in range(n)}
+    for a, b in edges:
+        if a != b:
+            out[a].add(b)
+            if not directed:
+                out[b].add(a)
+    want, below = {}, {}
+    for s in range(n):
+        seen, near, depth = {s}, {s}, 0
+        while near:
+            near = {y for x in near for y in out[x]} - seen
+            seen, depth = seen | near, depth + 1
+            for y in near:
+                want[y, depth] = want.get((y, depth), 0) + 1
+                below[y, depth] = below.get((y, depth), 0) + (s < y)
+    graph = Graph.from_tuples(spark, edges, n, directed=directed)
+    found = paths.distance_counts(graph).groupBy("node", "distance").agg(F.sum("n").alias("n"), F.sum("below").alias("below")).collect()
+    assert {(x.node, x.distance): x.n for x in found} == want
+    assert {(x.node, x.distance): x.below for x in found} == below
+    some = paths.distance_counts(graph, spark.createDataFrame([(0,), (139,), (0,)], "node long"))
+    assert some.agg(F.max("n")).first()[0] == 1
