@@ -3,7 +3,7 @@
 Method. Texts are cut into cells of ``CELL`` words and overlapping passages of ``SCALES`` cells. Terms are those of the
 benchmark; their document frequencies are counted over all passages of the corpus. A randomised singular value
 decomposition (range finder with a power iteration, each step a distributed sum of A'A times a thin matrix) of
-TF-IDF passages, the benchmark's and a bounded sample of the corpus, gives a latent space. Every passage of every
+TF-IDF passages, all of the benchmark and of the corpus, gives a latent space. Every passage of every
 document is projected and compared with every item by cosine; what reaches ``COSINE``, and far enough along the
 item, is a candidate. An item longer than the longest passage is compared in overlapping parts of that length, so
 that each part meets passages of its own size; a passage near one part makes the whole item a candidate. So does
@@ -13,11 +13,12 @@ within a stretch not much longer than the item, and ``ANSWER_SHARE`` of its answ
 that paraphrases with replaced or inserted words are found and texts that only share common words are not.
 Items of fewer than ``LEAST_WORDS`` words are searched for as exact sequences of words, by one automaton.
 
-Scale. Two narrow maps over whole texts (frequencies, search) and no shuffle of texts. What is sent is bounded: items go in
+Scale. Two narrow maps over whole texts (passages, search) and no shuffle of texts; the terms of the passages are stored, for the frequencies and the
+three passes of the decomposition. What is sent is bounded: items go in
 blocks of at most ``MAX_ITEMS``, terms of a block at most ``MAX_TERMS``, the latent basis terms by ``RANK``; an index is
 destroyed behind the jobs that read it, but for the last ones of :func:`keep_uncontaminated`, whose result is a plan that reads them. Blocks have spaces of their own, so a paraphrase's candidates may differ with the blocks; exact
 copies and runs of ``SEED_WORDS`` words don't depend on them. The sums A'A add up in Spark, and the driver gets one row for each term. The decomposition
-reads at most about ``SAMPLE_DOCS`` documents, chosen by a hash; all documents are searched.
+reads all documents, and all are searched.
 
 Edge cases. A null or empty text matches nothing, nor does an item without words. An item of fewer than ``LEAST_WORDS``
 words begins and ends at word bounds, unless its outer character is of a script that may be written without spaces
@@ -48,16 +49,16 @@ OVERSAMPLING = 16
 LEAST_WEIGHT = 0.05
 #: A run of so many of an item's words makes it a candidate.
 SEED_WORDS = 5
-SAMPLE_DOCS = 1_000
-#: Energy of the items' rows against the sampled rows in the decomposition: the space is to tell items apart.
+#: Energy of the items' rows against the corpus' rows in the decomposition: the space is to tell items apart.
 ITEM_ENERGY = 20.0
 MAX_ITEMS = 2_048
 MAX_TERMS = 1 << 16
 #: Blocks whose indexes :func:`keep_uncontaminated` holds at the same time.
 BLOCKS_AT_ONCE = 2
-#: Partitions of the sampled passages, whose number of rows is bounded too; terms whose sums travel together.
-SAMPLE_PARTS = 32
+#: Tasks whose sums meet, at most; terms whose sums travel together; passages that are multiplied at once.
+SUM_TASKS = 512
 TERMS_A_GROUP = 128
+ROWS_AT_ONCE = 32
 COSINE = 0.5
 #: Least share of an item's own latent length that a passage must reach along it: one rare word points the
 #: same way as its item, but not as far.
@@ -178,86 +179,85 @@ def _cells(bounds: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     return np.repeat(heads[:-1], sizes) + position // width, heads
 
 
-def document_frequencies(docs: DataFrame, items: Items) -> tuple[np.ndarray, int]:
-    """In how many passages of the corpus each term occurs, and the number of passages."""
+def corpus_passages(docs: DataFrame, items: Items) -> DataFrame:
+    """(terms, times, item): the different terms of each passage of the corpus, none of some, and of each part of the items, and how often they occur there."""
     sent = docs.sparkSession.sparkContext.broadcast(items.terms)
     n_terms = len(items.vocabulary)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(n_terms + 1, dtype=np.int64)
         for block in text_blocks(batches):
             words, bounds = read_words(block.data, block.offsets)
             cell, heads = _cells(bounds, CELL * SCALES[-1])
             term = sent.value.look(words)
             own = term >= 0
-            pairs = np.unique(cell[own] * n_terms + term[own])
-            total[:-1] += np.bincount(pairs % n_terms, minlength=n_terms)
-            total[-1] += heads[-1]
-        found = np.flatnonzero(total)
-        yield pa.record_batch([pa.array(found, pa.int64()), pa.array(total[found], pa.int64())], names=["term", "n"])
+            pairs, times = np.unique(cell[own] * n_terms + term[own], return_counts=True)
+            cuts = pa.array(np.searchsorted(pairs, np.arange(heads[-1] + 1) * n_terms), pa.int32())
+            lists = [pa.ListArray.from_arrays(cuts, pa.array(x.astype(np.int32))) for x in (pairs % n_terms, times)]
+            yield pa.record_batch([*lists, pa.array(np.zeros(heads[-1], dtype=bool))], names=["terms", "times", "item"])
 
-    rows = docs.select("text").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toPandas()
-    sent.destroy()
-    total = np.zeros(n_terms + 1, dtype=np.int64)
-    total[rows["term"].to_numpy(dtype=np.int64)] = rows["n"].to_numpy(dtype=np.int64)
-    return total[:-1], int(total[-1])
+    schema = "terms array<int>, times array<int>, item boolean"
+    own = [np.unique(items.terms.look(w), return_counts=True) for w in items.parts()[0]]
+    own = docs.sparkSession.createDataFrame([(t.tolist(), n.tolist(), True) for t, n in own], schema)
+    return docs.select("text").mapInArrow(run, schema).unionByName(own)
 
 
-def sample_passages(docs: DataFrame, items: Items) -> DataFrame:
-    """(terms, item): the terms of each passage of a bounded sample of documents, and those of the items."""
-    sent = docs.sparkSession.sparkContext.broadcast(items.terms)
-    n = docs.count()
-    every = max(1, n // SAMPLE_DOCS)
-    schema = pa.schema([("terms", pa.list_(pa.int32())), ("item", pa.bool_())])
+def document_frequencies(passages: DataFrame, n_terms: int) -> tuple[np.ndarray, int]:
+    """In how many passages of the corpus each term occurs, and the number of passages."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in text_blocks(batches):
-            words, bounds = read_words(block.data, block.offsets)
-            cell, _ = _cells(bounds, CELL * SCALES[-1])
-            term = sent.value.look(words)
-            own = term >= 0
-            cut = np.flatnonzero(np.diff(cell[own])) + 1
-            found = [x.tolist() for x in np.split(term[own], cut)]
-            yield pa.record_batch([pa.array(found, pa.list_(pa.int32())), pa.array([False] * len(found))], schema=schema)
+        total = np.zeros(n_terms + 1, dtype=np.int64)
+        for batch in batches:
+            total[:-1] += np.bincount(batch.column(0).flatten().to_numpy(), minlength=n_terms)
+            total[-1] += batch.num_rows
+        found = np.flatnonzero(total)
+        yield pa.record_batch([pa.array(found, pa.int64()), pa.array(total[found], pa.int64())], names=["term", "n"])
 
-    chosen = docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0) if every > 1 else docs
-    own = docs.sparkSession.createDataFrame([(items.terms.look(w).tolist(), True) for w in items.parts()[0]], "terms array<int>, item boolean")
-    return chosen.select("text").mapInArrow(run, "terms array<int>, item boolean").unionByName(own)
+    own = passages.filter("NOT item").select("terms").mapInArrow(run, "term long, n long")
+    rows = own.groupBy("term").agg(F.sum("n").alias("n")).toPandas()
+    total = np.zeros(n_terms + 1, dtype=np.int64)
+    total[rows["term"].to_numpy(dtype=np.int64)] = rows["n"].to_numpy(dtype=np.int64)
+    return total[:-1], int(total[-1])
 
 
 def _times(passages: DataFrame, weight: np.ndarray, thin: np.ndarray, item_length: float) -> np.ndarray:
-    """A'A times a thin matrix, summed over all passages; rows of A are TF-IDF passages of length one, items of ``item_length``."""
-    sent = passages.sparkSession.sparkContext.broadcast((weight, thin))
+    """A'A times a thin matrix, summed over all passages; rows of A are TF-IDF passages of length one, items of ``item_length``.
+
+    Products of a few rows are of single precision, their sums of double.
+    """
+    sent = passages.sparkSession.sparkContext.broadcast((weight, thin.astype(np.float32)))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weight, thin = sent.value
         total = np.zeros(thin.shape)
         for batch in batches:
             lists = batch.column(0)
-            row = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy(zero_copy_only=False))
-            term = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-            pairs, times = np.unique(row * len(weight) + term, return_counts=True)
-            row, term = pairs // len(weight), pairs % len(weight)
-            value = times * weight[term]
+            bounds = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))])
+            row = np.repeat(np.arange(len(lists)), np.diff(bounds))
+            term = lists.flatten().to_numpy(zero_copy_only=False)
+            value = batch.column(1).flatten().to_numpy(zero_copy_only=False) * weight[term]
             length = np.sqrt(np.bincount(row, value**2, minlength=len(lists)))
-            wanted = np.where(batch.column(1).to_numpy(zero_copy_only=False), item_length, 1.0)
-            value = value * (wanted / np.maximum(length, 1e-12))[row]
-            for column in range(thin.shape[1]):
-                projected = np.bincount(row, value * thin[term, column], minlength=len(lists))
-                total[:, column] += np.bincount(term, value * projected[row], minlength=len(weight))
+            wanted = np.where(batch.column(2).to_numpy(zero_copy_only=False), item_length, 1.0)
+            value = (value * (wanted / np.maximum(length, 1e-12))[row]).astype(np.float32)
+            for first in range(0, len(lists), ROWS_AT_ONCE):
+                low, high = bounds[first], bounds[min(first + ROWS_AT_ONCE, len(lists))]
+                if low < high:
+                    own, at = np.unique(term[low:high], return_inverse=True)
+                    rows = np.zeros((ROWS_AT_ONCE, len(own)), dtype=np.float32)
+                    rows[row[low:high] - first, at] = value[low:high]
+                    total[own] += rows.T @ (rows @ thin[own])
         for low in range(0, len(total), TERMS_A_GROUP):
             part = total[low : low + TERMS_A_GROUP]
             if part.any():
                 yield pa.record_batch([pa.array([low], pa.int64()), pa.array([part.tobytes()], pa.binary())], names=["first", "rows"])
 
     def add(group: pa.Table) -> pa.Table:
-        # one row for each task, SAMPLE_PARTS of them
+        # one row for each task, SUM_TASKS of them at most
         total = sum(np.frombuffer(x.as_buffer(), dtype=np.float64) for x in group.column("rows"))
         return pa.table({"first": group.column("first")[:1], "rows": pa.array([total.tobytes()], pa.binary())})
 
     schema = "first long, rows binary"
     total = np.zeros(thin.shape)
-    for row in passages.mapInArrow(run, schema).groupBy("first").applyInArrow(add, schema).collect():
+    for row in passages.coalesce(SUM_TASKS).mapInArrow(run, schema).groupBy("first").applyInArrow(add, schema).collect():
         part = np.frombuffer(row["rows"], dtype=np.float64).reshape(-1, thin.shape[1])
         total[row["first"] : row["first"] + len(part)] = part
     sent.destroy()
@@ -266,7 +266,7 @@ def _times(passages: DataFrame, weight: np.ndarray, thin: np.ndarray, item_lengt
 
 def latent_basis(passages: DataFrame, weight: np.ndarray, rank: int = RANK, seed: int = 7) -> np.ndarray:
     """The leading right singular vectors, terms by rank."""
-    counts = {bool(r["item"]): r["count"] for r in passages.groupBy("item").count().collect()}
+    counts = {bool(r["item"]): r["count"] for r in passages.filter("size(terms) > 0").groupBy("item").count().collect()}
     item_length = float(np.sqrt(max(1.0, ITEM_ENERGY * counts.get(False, 0) / max(1, counts.get(True, 0)))))
     width = min(rank + OVERSAMPLING, len(weight))
     basis = np.random.default_rng(seed).normal(size=(len(weight), width))
@@ -444,13 +444,13 @@ def build_index(docs: DataFrame, items: Items) -> Index:
     if not items.words:
         nothing = np.zeros((0, 0), dtype=np.float32)
         return Index(items, nothing, np.zeros(1, dtype=bool), np.zeros(0, dtype=np.int64), nothing, np.zeros(0, dtype=np.float32), Terms.of(items.vocabulary), [], [], [])
-    frequencies, n = document_frequencies(docs, items)
+    passages = stored(corpus_passages(docs, items))
+    frequencies, n = document_frequencies(passages.df, len(items.vocabulary))
     # squared, so that a language's common words, many times in a passage, don't outweigh its rare ones
     weight = np.log((n + 1 + len(items.ids)) / (frequencies + 1.0)) ** 2
     weight = np.maximum(weight, LEAST_WEIGHT * weight.max())
     if not weight.any():
         weight[:] = 1.0
-    passages = stored(sample_passages(docs, items).repartition(SAMPLE_PARTS))
     weighted = latent_basis(passages.df, weight) * weight[:, None].astype(np.float32)
     passages.drop()
     vectors, lengths, patterns, answers = [], [], [], []

@@ -162,3 +162,49 @@ def test_an_item_in_a_third_of_all_documents_is_found(spark):
     # as in a far larger corpus
     index = next(op.indexes(frame(spark, rows), bench(spark, [(k, " ".join(w), "x") for k, w in enumerate(items)])))
     assert index.telling[:-1].all()
+
+
+def test_the_decomposition_reads_every_passage(spark, monkeypatch):
+    """Not those of some documents: with more documents than any bound, the rows are all passages and their sums those of all."""
+    monkeypatch.setattr(op, "SAMPLE_DOCS", 1, raising=False)
+    r = random.Random(4)
+    words = [f"word{k}" for k in range(60)]
+    rows = [(k, " ".join(r.choice(words) for _ in range(r.randint(1, 200)))) for k in range(90)] + [(91, None), (92, "")]
+    items = op.item_block([(1, " ".join(words[:20])), (2, " ".join(words[15:50]))])
+    seen = []
+    basis = op.latent_basis
+
+    def watched(passages, weight):
+        seen.append((passages.filter("NOT item").count(), passages.filter("item").count()))
+        return basis(passages, weight)
+
+    monkeypatch.setattr(op, "latent_basis", watched)
+    op.build_index(frame(spark, rows), items)
+    assert seen == [(sum(-(-len((t or "").split()) // 64) for _, t in rows), 2)]
+
+
+def test_products_equal_dense_ones(spark):
+    import numpy as np
+
+    r = random.Random(5)
+    words = [f"word{k}" for k in range(60)]
+    rows = [(k, " ".join(r.choice(words) for _ in range(r.randint(0, 200)))) for k in range(90)]
+    items = op.item_block([(1, " ".join(words[:20])), (2, " ".join(words[15:50]))])
+    passages = op.corpus_passages(frame(spark, rows), items)
+    found, n = op.document_frequencies(passages, 50)
+    dense, own = [], []
+    for _, text in rows:
+        split = text.split()
+        for low in range(0, len(split), 64):
+            dense.append([split[low : low + 64].count(w) for w in words[:50]])
+    for low, high in ((0, 20), (15, 50)):
+        own.append([int(low <= k < high) for k in range(50)])
+    order = items.terms.look(op.item_words(" ".join(words[:50])))
+    a, b = np.zeros((len(dense), 50)), np.zeros((2, 50))
+    a[:, order], b[:, order] = dense, own
+    assert n == len(a) and found.tolist() == (a > 0).sum(axis=0).tolist()
+    weight, thin = np.linspace(1, 2, 50), np.random.default_rng(1).normal(size=(50, 9))
+    a, b = a * weight, b * weight
+    a /= np.maximum(np.sqrt((a**2).sum(axis=1, keepdims=True)), 1e-12)
+    b *= 3 / np.sqrt((b**2).sum(axis=1, keepdims=True))
+    assert np.allclose(op._times(passages, weight, thin, 3.0), a.T @ (a @ thin) + b.T @ (b @ thin), atol=1e-4)
