@@ -57,7 +57,7 @@ def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 @bounded
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(doc_id, score, second_score, n_pieces, round_trip, ids) of each document's best segmentation."""
+    """(doc_id, n_pieces, score, ids) of each document's best segmentation, the same of the next one (second_), and round_trip."""
     return sentencepiece_nbest.best_ids(docs, remembered=120_000)
 
 
