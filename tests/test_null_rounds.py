@@ -62,3 +62,22 @@ def test_random_pairs_in_blocks(spark, monkeypatch, block):
     full = samples(nulls.random_pairs(spark, 12, 1.0, 2, 3))
     assert all(sorted(e) == [(a, b) for a in range(12) for b in range(a + 1, 12)] for e in full.values())
     assert samples(nulls.random_pairs(spark, 12, 0.0, 2, 3)) == {}
+
+
+def test_few_rounds_of_swaps(spark, monkeypatch):
+    """A round swaps once for each edge inside its tasks, so the default of five is reached in a few rounds, each a single shuffle of the edges."""
+    rounds = []
+    monkeypatch.setattr(nulls, "EDGES_A_GROUP", 60)
+    stored = nulls.materialised
+    monkeypatch.setattr(nulls, "materialised", lambda df: rounds.append(df) or stored(df))
+    n = 150
+    edges = [(k, (k + d) % n) for k in range(n) for d in (1, 2, 5, 9)] + [(0, k) for k in range(20, 120)]
+    graph = Graph.from_tuples(spark, edges, n)
+    found = samples(nulls.swapped_edges(graph, 2, 3))
+    plain = sorted({(min(e), max(e)) for e in edges})
+    assert len(rounds) - 1 <= 8
+    assert all(df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") <= 1 for df in rounds[1:])
+    for e in found.values():
+        assert len(set(e)) == len(e) == len(plain) and all(a < b for a, b in e) and degrees(e, n) == degrees(plain, n)
+    again = samples(nulls.swapped_edges(Graph.of(graph.edges.repartition(7), n), 2, 3))
+    assert {k: sorted(v) for k, v in again.items()} == {k: sorted(v) for k, v in found.items()}
