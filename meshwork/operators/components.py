@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from meshwork.model import Graph
-from meshwork.plans.fixpoint import iterate, materialised
+from meshwork.plans.fixpoint import dealt, iterate, materialised
 
 
 def roots(graph: Graph) -> DataFrame:
@@ -15,9 +15,10 @@ def roots(graph: Graph) -> DataFrame:
     A round takes the least label around, then the label of that label, so long chains halve.
     """
     arcs = materialised(graph.neighbours())
+    by_other = dealt(arcs, "other", graph.n_nodes)
 
     def step(labels: DataFrame) -> DataFrame:
-        near = arcs.join(labels.select(F.col("node").alias("other"), "root"), "other").groupBy("node").agg(F.min("root").alias("near"))
+        near = by_other(arcs).join(by_other(labels.select(F.col("node").alias("other"), "root")), "other").groupBy("node").agg(F.min("root").alias("near"))
         hooked = labels.join(near, "node", "left").select("node", F.least("root", F.coalesce("near", "root")).alias("root"))
         # read back: with two plain shuffles, the nodes that share a root are a skewed partition that can be split
         hooked = materialised(hooked)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from meshwork.model import Graph
-from meshwork.plans.fixpoint import materialised
+from meshwork.plans.fixpoint import dealt, materialised
 
 
 def pagerank(graph: Graph, alpha: float = 0.85, tol: float | None = 1e-6, max_iter: int = 200, dangling: str = "drop") -> DataFrame:
@@ -19,12 +19,13 @@ def pagerank(graph: Graph, alpha: float = 0.85, tol: float | None = 1e-6, max_it
     n = max(1, graph.n_nodes)
     # the edges' own plan runs once: out-degrees add up the counted arcs
     counted = materialised(graph.edges.groupBy("src", "dst").agg(F.count("*").alias("m")))
+    by_src = dealt(counted, "src", graph.n_nodes)
     out = counted.groupBy("src").agg(F.sum("m").alias("out"))
-    arcs = counted.join(out, "src")
+    arcs = by_src(counted).join(by_src(out), "src")
     arcs = materialised(arcs.select("src", "dst", (F.col("m") / F.col("out")).alias("share")))
     ranks = graph.vertices.withColumn("pagerank", F.lit(1.0 / n))
     for k in range(1, max_iter + 1):
-        sent = arcs.join(ranks.withColumnRenamed("node", "src"), "src").groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("share") * F.col("pagerank")).alias("got"))
+        sent = by_src(arcs).join(by_src(ranks.withColumnRenamed("node", "src")), "src").groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("share") * F.col("pagerank")).alias("got"))
         base = F.lit((1 - alpha) / n)
         if dangling == "redistribute":
             lost = ranks.join(out.withColumnRenamed("src", "node"), "node", "left_anti").agg(F.coalesce(F.sum("pagerank"), F.lit(0.0))).first()[0]

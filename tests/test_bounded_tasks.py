@@ -130,3 +130,23 @@ def test_distances_by_batches_and_blocks_equal_searches_from_each_node(spark, mo
     assert {(x.node, x.distance): x.below for x in found} == below
     some = paths.distance_counts(graph, spark.createDataFrame([(0,), (139,), (0,)], "node long"))
     assert some.agg(F.max("n")).first()[0] == 1
+
+
+def test_rounds_get_more_tasks_with_more_arcs(spark, monkeypatch):
+    from meshwork.operators import components
+    from meshwork.plans import fixpoint
+
+    graph = Graph.from_tuples(spark, [(0, 2), (2, 3), (3, 0), (5, 4), (6, 5), (4, 4)], 8)
+    plans = []
+    stored = components.materialised
+    monkeypatch.setattr(components, "materialised", lambda df: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or stored(df))
+    monkeypatch.setattr(fixpoint, "ROWS_A_TASK", 2, raising=False)
+    assert sorted(map(tuple, components.roots(graph).collect())) == [(0, 0), (1, 1), (2, 0), (3, 0), (4, 4), (5, 4), (6, 4), (7, 7)]
+    assert all("RepartitionByExpression [other" in p for p in plans[1:]) and len(plans) > 1
+
+
+def test_simple_projections_of_distinct_pairs_take_no_shuffle(spark, tmp_path):
+    tables(spark, tmp_path)
+    graph = projections.copurchase(spark, str(tmp_path))
+    assert "Aggregate [a#" not in graph.simple()._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(map(tuple, graph.simple().collect())) == sorted({(min(e), max(e)) for e in graph.edges.select("src", "dst").collect()})
