@@ -132,6 +132,27 @@ def test_distances_by_batches_and_blocks_equal_searches_from_each_node(spark, mo
     assert some.agg(F.max("n")).first()[0] == 1
 
 
+@pytest.mark.parametrize("directed", [False, True])
+def test_distances_in_tasks_equal_those_by_levels_and_move_no_bits(spark, monkeypatch, directed):
+    """Within the bound of arcs a task makes all levels itself: three tables are stored, however many levels there are."""
+    from meshwork.plans import searches
+
+    for name, value in {"LONG": 4, "GATHERED_BYTES": 64, "ARCS_A_ROW": 30, "ROWS_HELD": 50, "PULLED": 20}.items():
+        monkeypatch.setattr(searches, name, value)
+    stored = []
+    for module in (paths, searches):
+        monkeypatch.setattr(module, "materialised", lambda df, keep=module.materialised: stored.append(df) or keep(df))
+    r = np.random.default_rng(6)
+    edges = [(int(a), int(b)) for a, b in zip(r.integers(80, size=160), r.integers(80, size=160) ** 2 // 80)] + [(90 + k, 91 + k) for k in range(8)]
+    graph = Graph.from_tuples(spark, edges, 110, directed=directed)
+    sums = lambda df: sorted(map(tuple, df.groupBy("node", "distance").agg(F.sum("n"), F.sum("below")).collect()))
+    found = sums(paths.distance_counts(graph, against=True))
+    assert len(stored) == 3 and max(x[1] for x in found) >= 8
+    monkeypatch.setattr(searches, "ARCS_HELD", 0)
+    assert sums(paths.distance_counts(graph, against=True)) == found
+    assert len(stored) > 10
+
+
 def test_rounds_get_more_tasks_with_more_arcs(spark, monkeypatch):
     from meshwork.operators import components
     from meshwork.plans import fixpoint
