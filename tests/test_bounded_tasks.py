@@ -166,6 +166,23 @@ def test_rounds_get_more_tasks_with_more_arcs(spark, monkeypatch):
     assert all("RepartitionByExpression [other" in p for p in plans[1:]) and len(plans) > 1
 
 
+def test_components_of_dense_graphs_make_rounds_over_few_edges(spark, monkeypatch):
+    """Two dense parts, a chain of dense parts that single edges join, and a path: rounds read a share of the edges, and no edge is lost."""
+    from meshwork.operators import components
+
+    parts = [range(0, 30), range(30, 55), *(range(60 + 12 * k, 72 + 12 * k) for k in range(4))]
+    edges = [e for p in parts for e in combinations(p, 2)] + [(71 + 12 * k, 75 + 12 * k) for k in range(3)] + [(120, 119), (119, 118)]
+    rounds = []
+    keep = components._rounds
+    monkeypatch.setattr(components, "EDGES_A_NODE", 1)
+    monkeypatch.setattr(components, "_rounds", lambda nodes, e: rounds.append(e.count()) or keep(nodes, e))
+    graph = Graph.from_tuples(spark, edges, 124)
+    want = {v: v for v in range(124)} | dict.fromkeys(range(0, 30), 0) | dict.fromkeys(range(30, 55), 30) | dict.fromkeys(range(60, 108), 60) | dict.fromkeys((118, 119, 120), 118)
+    assert dict(map(tuple, components.roots(graph).collect())) == want
+    assert len(rounds) == 2 and max(rounds) < 0.3 * len(edges)
+    assert components.component_count(graph).first()[0] == len(set(want.values()))
+
+
 def test_simple_projections_of_distinct_pairs_take_no_shuffle(spark, tmp_path):
     tables(spark, tmp_path)
     graph = projections.copurchase(spark, str(tmp_path))
