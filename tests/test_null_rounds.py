@@ -81,3 +81,36 @@ def test_few_rounds_of_swaps(spark, monkeypatch):
         assert len(set(e)) == len(e) == len(plain) and all(a < b for a, b in e) and degrees(e, n) == degrees(plain, n)
     again = samples(nulls.swapped_edges(Graph.of(graph.edges.repartition(7), n), 2, 3))
     assert {k: sorted(v) for k, v in again.items()} == {k: sorted(v) for k, v in found.items()}
+
+
+def test_stubs_move_once_and_match_as_at_random(spark, monkeypatch):
+    """Samples take two shuffles behind the degrees, neither of single stubs, and pairs are as frequent as a random matching of all stubs has them."""
+    n = 24
+    edges = [(k, (k + d) % n) for k in range(n) for d in (1, 2, 3)] + [(0, k) for k in range(4, 20)] + [(5, 5)]
+    graph = Graph.from_tuples(spark, edges, n)
+    df = nulls.null_models(graph, "configuration", 600, 3)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 2 and "stub" not in plan
+    found = samples(df)
+    assert all(a < b for e in found.values() for a, b in e) and all(len(set(e)) == len(e) for e in found.values())
+    stubs = np.array(degrees([e for e in edges if e[0] != e[1]], n)) + 2 * (np.arange(n) == 5)
+    total = stubs.sum()
+    held = np.zeros((n, n))
+    for e in found.values():
+        held[tuple(np.array(e).T)] += 1
+    # the chance that no stub of one node meets one of the other
+    for a in range(n):
+        for b in range(a + 1, n):
+            none = np.prod([1 - stubs[b] / (total - 1 - 2 * k) for k in range(stubs[a])])
+            assert abs(held[a, b] / 600 - (1 - none)) < 5.5 * np.sqrt(none * (1 - none) / 600) + 0.01
+    assert {k: sorted(v) for k, v in samples(nulls.null_models(Graph.of(graph.edges.repartition(7), n), "configuration", 600, 3)).items()} == {k: sorted(v) for k, v in found.items()}
+    assert samples(nulls.null_models(Graph.of(spark.createDataFrame([], "src long, dst long"), 3), "configuration", 2)) == {}
+
+
+def test_pairs_between_classes_use_every_stub_once():
+    stubs = [7, 0, 2_000_000_001, 12]
+    pairs = nulls._between(stubs, 5, 0)
+    assert (pairs.sum(axis=0) + pairs.sum(axis=1)).tolist() == stubs and (pairs >= 0).all()
+    draws = np.array([nulls._between([6, 10], 5, k)[0, 0] for k in range(3000)])
+    # both stubs of a pair in the first class: 8 pairs of 6/16 * 5/15 each
+    assert abs(draws.mean() - 1) < 0.08
