@@ -55,6 +55,21 @@ def test_triangles_by_blocks_equal_all_triples(spark, monkeypatch, bounds):
     assert triangles.triangle_list(Graph.from_tuples(spark, [(0, 1)], 3)).isEmpty()
 
 
+def test_two_blocks_meet_in_one_task(spark, monkeypatch):
+    """Lists go to a task for each two blocks, in one order, 4 bytes a node: half as many tasks as ordered pairs, and no row for each node."""
+    monkeypatch.setattr(triangles, "LEAST_BLOCKS", 6)
+    monkeypatch.setattr(triangles, "ARCS_A_CHUNK", 100)
+    r = np.random.default_rng(8)
+    edges = sorted({(int(min(e)), int(max(e))) for e in r.integers(0, 2**20, 60)[r.integers(0, 60, (500, 2))] if e[0] != e[1]})
+    found = triangles.triangle_list(Graph.from_tuples(spark, edges, 2**20))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression [task" in plan and ", 21" in plan and "collect_list" not in plan
+    near = {}
+    for a, b in edges:
+        near.setdefault(a, set()).add(b)
+    assert sorted(tuple(sorted(t)) for t in found.collect()) == sorted((a, b, c) for a in near for b in near[a] for c in near[a] & near.get(b, set())) != []
+
+
 def test_configuration_pairs_across_ranges(spark, monkeypatch):
     graph = Graph.from_tuples(spark, [(k, (7 * k + 1) % 50) for k in range(50)] * 3, 50)
     stubs = graph.edges.select(F.explode(F.array("src", "dst")).alias("node")).groupBy("node").agg(F.count("*").alias("d")).select("node", F.explode(F.sequence(F.lit(1), F.col("d"))).alias("stub"))
